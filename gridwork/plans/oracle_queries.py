@@ -20,4 +20,12 @@ ORACLE["table_status"] = with_(GRID, NORMALIZE) + \
     "\nSELECT doc_id, table_id, status, carried FROM walk"
 
 ORACLE["best_splits"] = with_(GRID, NORMALIZE, split_ctes("norm")) + \
-    "\nSELECT doc_id, table_id, variant, row_split, col_split, round(score, 6) AS score FROM best"
+    "\nSELECT doc_id, table_id, variant, row_split, col_split FROM best"
+
+from gridwork.plans.oracle_sql import EXPECTED_CONTEXT, EXPECTED_EXTRACT  # noqa: E402
+
+ORACLE["extract_tables"] = with_(GRID, EXPECTED_EXTRACT) + \
+    "\nSELECT doc_id, table_id, table_ord, r, c, cell_id, text FROM expected"
+
+ORACLE["context_above"] = with_(GRID, EXPECTED_CONTEXT) + \
+    "\nSELECT doc_id, table_id, sentence, cell_id, data FROM context"

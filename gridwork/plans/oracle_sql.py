@@ -319,3 +319,47 @@ sentences AS (
 
 def with_(*ctes: str) -> str:
     return "WITH RECURSIVE " + ",".join(c.strip().rstrip(",") for c in ctes)
+
+
+def clean_heading(x: str) -> str:
+    t = f"regexp_replace({x}, '^[(（]?[０-９0-9]+[)）]?[ 　]*', '')"
+    t = f"regexp_replace({t}, '[【】]', '', 'g')"
+    return f"regexp_replace({t}, '^[{WS}]+|[{WS}]+$', '', 'g')"
+
+
+EXPECTED_EXTRACT = """
+ek AS (SELECT *, table_ord % 4 AS k FROM slots),
+expected AS (
+  SELECT doc_id, table_id,
+         CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY table_ord) - 1 AS BIGINT) AS table_ord, r, c,
+         CASE WHEN k = 2 AND r = 0 AND c = 4 THEN lag(cell_id) OVER (PARTITION BY table_id, r ORDER BY c)
+              WHEN k = 1 AND r = 2 AND c = 0 THEN lag(cell_id) OVER (PARTITION BY table_id, c ORDER BY r)
+              ELSE cell_id END AS cell_id,
+         CASE WHEN k = 2 AND r = 0 AND c = 4 THEN '割引'
+              WHEN k = 1 AND r = 2 AND c = 0 THEN '品目1'
+              WHEN text IS NULL AND c = 4 THEN NULL
+              ELSE coalesce(text, '') END AS text
+  FROM ek
+)"""
+
+EXPECTED_CONTEXT = f"""
+tabs2 AS (SELECT DISTINCT doc_id, table_id, table_ord FROM slots),
+paras AS (
+  SELECT t.doc_id, t.table_id, t.table_ord,
+         CASE WHEN t.table_ord % 6 = 0 THEN NULL
+              WHEN t.table_ord % 6 = 1 THEN 'div#pageDIV' || CAST(t.table_ord AS VARCHAR)
+              ELSE '(' || CAST(t.table_ord % 9 AS VARCHAR) || ') 【' || o.o_orderpriority || '】 '
+                   || o.o_orderstatus END AS p
+  FROM tabs2 t JOIN orders o ON o.o_orderkey = t.table_ord
+),
+ctx AS (
+  SELECT doc_id, table_id,
+         coalesce(last_value(p IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY table_ord
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '報告書 ' || doc_id) AS above
+  FROM paras
+),
+context AS (
+  SELECT doc_id, table_id, '以下の文書は「' || {clean_heading('above')} || '」について記述されています。' AS sentence,
+         table_id || '-aboveparagraph' AS cell_id, '' AS data
+  FROM ctx WHERE NOT starts_with(above, 'div#pageDIV')
+)"""

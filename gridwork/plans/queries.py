@@ -45,3 +45,20 @@ def table_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def best_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best split of every table for all four variants."""
     return report.split_predictions(spark, sf_dir)
+
+
+@register("extract_tables")
+def extract_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1-B5 (+C1-C6): HTML pages rendered from the fixture tables, parsed back."""
+    from gridwork.operators.extract import extract_tables as ext, parse_pages
+    from gridwork.sources.fixtures import report_pages
+    raw = parse_pages(report_pages(spark, sf_dir))
+    return ext(raw).select("doc_id", "table_id", "table_ord", "r", "c", "cell_id", "text")
+
+
+@register("context_above")
+def context_above(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H1-H4: the context sentence of every keyed table of the rendered pages."""
+    from gridwork.operators.extract import context_above as ctx, parse_pages
+    from gridwork.sources.fixtures import report_pages
+    return ctx(parse_pages(report_pages(spark, sf_dir)))

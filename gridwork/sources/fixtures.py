@@ -151,3 +151,63 @@ def literal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         doc_id_of(F.col("o_custkey")).alias("doc_id"),
         F.concat(doc_id_of(F.col("o_custkey")), F.lit("-0000000-tab"), k.cast("string")).alias("table_id"),
         k.alias("table_ord"), text.alias("text"))
+
+
+# ------------------------------------------------------------ report pages --
+PAGE_HEAD = ('<html><head><title>報告書</title><script>var t="</p>";</script>'
+             '<style>p{margin:0}</style></head><body>')
+
+
+def report_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One HTML page per document rendering its fixture tables in order.
+
+    Spans: for ``k = 2`` the header cell (0,3) spans two columns (the (0,4)
+    cell is not written); for ``k = 1`` the cell (1,0) spans two rows (the
+    (2,0) cell is not written). An unfilled last cell of a row is not written
+    (the row is short); other unfilled cells are written empty. Before each
+    table: a heading paragraph and a dated paragraph (``orderkey % 6`` not 0
+    or 1), a page marker (1) or nothing (0).
+    """
+    g = report_grid(spark, sf_dir).withColumn("k", F.col("table_ord") % 4)
+    r, c, k = F.col("r"), F.col("c"), F.col("k")
+    covered = ((k == 2) & (r == 0) & (c == 4)) | ((k == 1) & (r == 2) & (c == 0))
+    skipped = covered | (F.col("text").isNull() & (c == 4))
+    tag = F.when(r == 0, F.lit("th")).otherwise(F.lit("td"))
+    attrs = F.concat(
+        F.when(F.col("cell_id").isNotNull(), F.concat(F.lit(' cell-id="'), F.col("cell_id"), F.lit('"')))
+        .otherwise(F.lit("")),
+        F.when((k == 2) & (r == 0) & (c == 3), F.lit(' colspan="2"')).otherwise(F.lit("")),
+        F.when((k == 1) & (r == 1) & (c == 0), F.lit(' rowspan="2"')).otherwise(F.lit("")))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    inner = F.when((r % 2 == 0) & (c == 2), F.concat(F.lit("<span> "), text, F.lit(" </span>"))) \
+        .otherwise(text)
+    cells = g.filter(~skipped).select(
+        "doc_id", "table_id", "table_ord", "r", "c",
+        F.concat(F.lit("<"), tag, attrs, F.lit(">"), inner, F.lit("</"), tag, F.lit(">")).alias("h"))
+    rows = cells.groupBy("doc_id", "table_id", "table_ord", "r").agg(
+        F.concat(F.lit("<tr>"), _ordered_join("c", "h"), F.lit("</tr>")).alias("h"))
+    orders = read_table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("table_ord"), "o_orderpriority", "o_orderstatus", "o_orderdate")
+    m = F.col("table_ord") % 6
+    para = (F.when(m == 0, F.lit(""))
+            .when(m == 1, F.concat(F.lit("<p>div#pageDIV"), F.col("table_ord").cast("string"), F.lit("</p>")))
+            .otherwise(F.concat(
+                F.lit("<div><p>("), (F.col("table_ord") % 9).cast("string"), F.lit(") 【"),
+                F.col("o_orderpriority"), F.lit("】 "), F.col("o_orderstatus"),
+                F.lit("<!-- c --></p><p>作成日 "), _ymd("o_orderdate"), F.lit("<br></p></div>"))))
+    tables = rows.groupBy("doc_id", "table_id", "table_ord").agg(_ordered_join("r", "h").alias("h")) \
+        .join(orders, "table_ord") \
+        .select("doc_id", "table_ord",
+                F.concat(para, F.lit('<table table-id="'), F.col("table_id"), F.lit('">'), F.col("h"),
+                         F.lit("</table>")).alias("h"))
+    return tables.groupBy("doc_id").agg(
+        F.concat(F.lit(PAGE_HEAD), F.lit("<h1>報告書 "), F.col("doc_id"),
+                 F.lit("</h1><table><tr><td>nav</td></tr></table>"),
+                 _ordered_join("table_ord", "h"), F.lit("</body></html>")).alias("html")
+    ).select("doc_id", F.concat(F.col("doc_id"), F.lit("/report.html")).alias("page_id"), "html")
+
+
+def _ordered_join(pos: str, val: str) -> Column:
+    """Concatenate ``val`` of a group in ``pos`` order (bounded groups only)."""
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(pos, val))),
+                                    lambda x: x.getField(val)), "")
