@@ -211,7 +211,7 @@ def clean_heading(x) -> Column:
 def tab_number(x) -> Column:
     """C17: digits after ``-tab``; NULL (sorts last, i.e. infinity) if none."""
     d = F.regexp_extract(_c(x), "-tab([0-9]+)", 1)
-    return F.when(d != "", d.try_cast("decimal(38,0)"))
+    return F.when(d != "", d.try_cast("bigint"))
 
 
 def doc_prefix(x) -> Column:

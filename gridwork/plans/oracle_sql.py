@@ -363,3 +363,84 @@ context AS (
          table_id || '-aboveparagraph' AS cell_id, '' AS data
   FROM ctx WHERE NOT starts_with(above, 'div#pageDIV')
 )"""
+
+
+# ----------------------------------------------------------- more twins --
+def is_float_text(x: str) -> str:
+    return ("regexp_matches(" + x + ", '(?i)^[+-]?(([0-9]+(_[0-9]+)*([.]([0-9]+(_[0-9]+)*)?)?|[.][0-9]+(_[0-9]+)*)"
+            "(e[+-]?[0-9]+(_[0-9]+)*)?|inf|infinity|nan)$')")
+
+
+JAVA_WS = "\\t\\n\\x0b\\f\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+
+
+def needs_translation(x: str) -> str:
+    return f"NOT regexp_matches({x}, '^[\\p{{L}}\\p{{M}}\\p{{Nd}}_{JAVA_WS}\\p{{P}}]*$')"
+
+
+def doc_of(custkey: str) -> str:
+    return doc_sql(custkey)
+
+
+CONV = f"""
+conv_t AS (
+  SELECT v.conv_id, v.turn, v.role, v.text, {doc_sql('o.o_custkey')} AS doc_id,
+         {doc_sql('o.o_custkey')} || '-0000000-tab' || CAST(o.o_orderkey AS VARCHAR) AS table_id
+  FROM conversations v JOIN orders o ON v.conv_id = o.o_orderkey
+),
+questions AS (
+  SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS qid, text AS question, doc_id, table_id,
+         table_id || '-R' || CAST(turn // 2 + 1 AS VARCHAR) || 'C2' AS cell_id
+  FROM conv_t WHERE role = 'user'
+),
+csent AS (
+  SELECT doc_id, table_id, text AS sentence,
+         CASE WHEN role = 'assistant' THEN table_id || '-R' || CAST((turn - 1) // 2 + 1 AS VARCHAR) || 'C2' END
+           AS cell_id
+  FROM conv_t WHERE role <> 'user'
+)"""
+
+GOLD = f"""
+gold0 AS (
+  SELECT {doc_sql('o_custkey')} AS doc_id,
+         {doc_sql('o_custkey')} || '-0000000-tab' || CAST(o_orderkey AS VARCHAR) AS table_id,
+         CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN 0 ELSE 1 END AS row_split,
+         CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE 1 END AS col_split
+  FROM orders
+),
+gold AS (
+  SELECT g.doc_id, g.table_id,
+         EXISTS (SELECT 1 FROM questions q WHERE q.doc_id = g.doc_id AND q.table_id = g.table_id) AS is_include,
+         CAST(g.row_split AS INTEGER) AS row_split, CAST(g.col_split AS INTEGER) AS col_split
+  FROM gold0 g
+),
+glab AS (SELECT * FROM gold WHERE is_include AND row_split IS NOT NULL AND col_split IS NOT NULL)"""
+
+NLI = """
+nli AS (
+  SELECT CASE WHEN event_type = 'view' THEN 'entailment' WHEN event_type = 'click' THEN 'neutral'
+              ELSE 'contradiction' END AS label,
+         event_type || ':' || CAST(user_id AS VARCHAR) AS s1, coalesce(props, '') AS s2
+  FROM events
+),
+nk AS (
+  SELECT *, md5(concat_ws('|', '42', coalesce(label, '␀'), coalesce(s1, '␀'), coalesce(s2, '␀'))) AS k
+  FROM nli
+),
+nsize AS (
+  SELECT label, count(*) AS n FROM nk GROUP BY label
+),
+halved AS (
+  SELECT label, s1, s2, k FROM (
+    SELECT nk.*, n, row_number() OVER (PARTITION BY nk.label ORDER BY k) AS rk FROM nk JOIN nsize USING (label))
+  WHERE label = 'entailment'
+     OR rk <= CASE WHEN n % 2 = 0 THEN n // 2 WHEN (n // 2) % 2 = 0 THEN n // 2 ELSE n // 2 + 1 END
+),
+balanced AS (
+  SELECT CAST(CASE WHEN label = 'entailment' THEN 1 ELSE 0 END AS INTEGER) AS label, s1, s2 FROM halved
+),
+bk AS (
+  SELECT *, md5(concat_ws('|', '42', coalesce(CAST(label AS VARCHAR), '␀'), coalesce(s1, '␀'),
+                          coalesce(s2, '␀'))) AS k
+  FROM balanced
+)"""

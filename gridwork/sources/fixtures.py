@@ -211,3 +211,81 @@ def _ordered_join(pos: str, val: str) -> Column:
     """Concatenate ``val`` of a group in ``pos`` order (bounded groups only)."""
     return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(pos, val))),
                                     lambda x: x.getField(val)), "")
+
+
+# ------------------------------------------------- questions, gold, NLI --
+def _conv_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns attached to the report table of the order with the
+    same number (conversation ``i`` talks about order ``i``)."""
+    conv = read_table(spark, sf_dir, "conversations")
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    doc = doc_id_of(F.col("o_custkey"))
+    return conv.join(orders, conv["conv_id"] == orders["o_orderkey"]).select(
+        "conv_id", "turn", "role", "text", doc.alias("doc_id"),
+        F.concat(doc, F.lit("-0000000-tab"), F.col("o_orderkey").cast("string")).alias("table_id"))
+
+
+def _row_cell(table_id: Column, row: Column) -> Column:
+    return F.concat(table_id, F.lit("-R"), row.cast("string"), F.lit("C2"))
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(qid, question, doc_id, table_id, cell_id)``: user turns ask about the
+    price cell of row ``turn div 2 + 1`` of their table."""
+    t = _conv_tables(spark, sf_dir).filter(F.col("role") == "user")
+    return t.select(
+        F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("qid"),
+        F.col("text").alias("question"), "doc_id", "table_id",
+        _row_cell(F.col("table_id"), _div(F.col("turn"), 2) + 1).alias("cell_id"))
+
+
+def conversation_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, table_id, sentence, cell_id)``: assistant turns answer about
+    row ``(turn - 1) div 2 + 1``; system turns are sentences without a cell id."""
+    t = _conv_tables(spark, sf_dir).filter(F.col("role") != "user")
+    cell = F.when(F.col("role") == "assistant",
+                  _row_cell(F.col("table_id"), _div(F.col("turn") - 1, 2) + 1))
+    return t.select("doc_id", "table_id", F.col("text").alias("sentence"), cell.alias("cell_id"))
+
+
+def gold_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hand-label stand-ins for every order's table: split (1,1), (0,1) for
+    every fifth order, unlabelled (NULL) for every seventh; not included."""
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    k = F.col("o_orderkey")
+    doc = doc_id_of(F.col("o_custkey"))
+    unl = k % 7 == 0
+    return o.select(
+        doc.alias("doc_id"),
+        F.concat(doc, F.lit("-0000000-tab"), k.cast("string")).alias("table_id"),
+        F.lit(False).alias("is_include"),
+        F.when(unl, F.lit(None)).when(k % 5 == 0, F.lit(0)).otherwise(F.lit(1)).cast("int").alias("row_split"),
+        F.when(unl, F.lit(None)).otherwise(F.lit(1)).cast("int").alias("col_split"))
+
+
+def nli_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(label, s1, s2)`` with three classes from ``events``."""
+    e = read_table(spark, sf_dir, "events")
+    label = (F.when(F.col("event_type") == "view", F.lit("entailment"))
+             .when(F.col("event_type") == "click", F.lit("neutral"))
+             .otherwise(F.lit("contradiction")))
+    return e.select(label.alias("label"),
+                    F.concat(F.col("event_type"), F.lit(":"), F.col("user_id").cast("string")).alias("s1"),
+                    F.coalesce(F.col("props"), F.lit("")).alias("s2"))
+
+
+# ---------------------------------------------------------- text probes --
+# Fixed probe affixes for the C1-C6 check: spaces, triangles, full-width
+# digits, magnitude words, commas and trailing unit characters.
+PROBE_PREFIXES = ["", "　", "▲", "１２", " ", "△"]
+PROBE_SUFFIXES = ["", "百万円", "千円", " 円", ",000", "株", "個円", "　", "▴"]
+
+
+def probe_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixture cell texts wrapped in affixes chosen by position."""
+    g = report_grid(spark, sf_dir).filter(F.col("text").isNotNull())
+    pre = F.element_at(F.array(*[F.lit(p) for p in PROBE_PREFIXES]),
+                       ((F.col("table_ord") + F.col("r")) % len(PROBE_PREFIXES) + 1).cast("int"))
+    suf = F.element_at(F.array(*[F.lit(s) for s in PROBE_SUFFIXES]),
+                       ((F.col("table_ord") + F.col("c") * 3 + F.col("r")) % len(PROBE_SUFFIXES) + 1).cast("int"))
+    return g.select("doc_id", "table_id", "r", "c", F.concat(pre, F.col("text"), suf).alias("text"))
