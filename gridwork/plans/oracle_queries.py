@@ -222,7 +222,8 @@ sc AS (
 SELECT qid, vec_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM sc"""
 
 ORACLE["translation_volume"] = f"""
-SELECT lang, count(*) AS n_texts, sum(CASE WHEN {needs_translation('text')} THEN 1 ELSE 0 END) AS n_translate,
+SELECT lang, count(*) AS n_texts,
+       CAST(sum(CASE WHEN {needs_translation('text')} THEN 1 ELSE 0 END) AS BIGINT) AS n_translate,
        CAST(coalesce(sum(CASE WHEN {needs_translation('text')} THEN length(text) END), 0) AS BIGINT) AS chars
 FROM documents GROUP BY lang"""
 
