@@ -88,7 +88,9 @@ def magnitude_suffix(x) -> Column:
 
 def rstrip_units(x) -> Column:
     """Strip any trailing run of 円 株 個."""
-    return F.regexp_replace(_c(x), f"[{TRAILING_UNITS}]+$", "")
+    x = _c(x)
+    ends = x.endswith(TRAILING_UNITS[0]) | x.endswith(TRAILING_UNITS[1]) | x.endswith(TRAILING_UNITS[2])
+    return F.when(ends, F.regexp_replace(x, f"[{TRAILING_UNITS}]+$", "")).otherwise(x)
 
 
 def normalize_text(x, with_nfkc: bool = True) -> Column:
@@ -114,27 +116,30 @@ def with_steps(df, col: str, steps):
 # ---------------------------------------------------------- C7 .. C12 ---
 def stock_unit(x) -> Column:
     """``株式の状況(1単元の株式数N株)`` anywhere -> the whole text becomes N."""
-    return F.regexp_replace(_c(x), f"(?s)^.*?{STOCK_UNIT_RE}.*$", "$1")
+    x = _c(x)
+    return F.when(x.contains("株式の状況"),
+                  F.regexp_replace(x, f"(?s)^.*?{STOCK_UNIT_RE}.*$", "$1")).otherwise(x)
 
 
-def _iso(x: Column, pattern: str) -> Column:
+def _iso(x: Column, pattern: str, needle: str) -> Column:
+    # the groups are read from the (short) first match, not the whole text
     m = F.regexp_extract(x, pattern, 0)
     iso = F.concat(
-        F.regexp_extract(x, pattern, 1), F.lit("-"),
-        F.lpad(F.regexp_extract(x, pattern, 2), 2, "0"), F.lit("-"),
-        F.lpad(F.regexp_extract(x, pattern, 3), 2, "0"),
+        F.regexp_extract(m, pattern, 1), F.lit("-"),
+        F.lpad(F.regexp_extract(m, pattern, 2), 2, "0"), F.lit("-"),
+        F.lpad(F.regexp_extract(m, pattern, 3), 2, "0"),
     )
-    return F.when(m != "", F.replace(x, m, iso)).otherwise(x)
+    return F.when(x.contains(needle) & (m != ""), F.replace(x, m, iso)).otherwise(x)
 
 
 def date_iso(x) -> Column:
     """The first ``Y年M月D日`` -> ``YYYY-MM-DD``; every copy of that match is replaced."""
-    return _iso(_c(x), DATE_RE)
+    return _iso(_c(x), DATE_RE, "日")
 
 
 def birth_date(x) -> Column:
     """As C8 for ``Y年M月D日生`` (the 生 is dropped)."""
-    return _iso(_c(x), BIRTH_DATE_RE)
+    return _iso(_c(x), BIRTH_DATE_RE, "日生")
 
 
 def _two_digits(d: Column) -> Column:
@@ -147,7 +152,7 @@ def yen_sen(x) -> Column:
     """``N円M銭`` anywhere -> the whole text becomes ``N.MM``."""
     x = _c(x)
     return F.when(
-        x.rlike(YEN_SEN_RE),
+        x.contains("銭") & x.rlike(YEN_SEN_RE),
         F.concat(F.regexp_extract(x, YEN_SEN_RE, 1), F.lit("."),
                  _two_digits(F.regexp_extract(x, YEN_SEN_RE, 2))),
     ).otherwise(x)
@@ -155,12 +160,14 @@ def yen_sen(x) -> Column:
 
 def note_marker(x) -> Column:
     """C11: text starting ``※d`` + digits -> only the later digits."""
-    return F.regexp_replace(_c(x), f"(?s){NOTE_MARKER_RE}.*$", "$1")
+    x = _c(x)
+    return F.when(x.startswith("※"), F.regexp_replace(x, f"(?s){NOTE_MARKER_RE}.*$", "$1")).otherwise(x)
 
 
 def bracket_number(x) -> Column:
     """Delete every ``〔digits〕``."""
-    return F.regexp_replace(_c(x), BRACKET_NUMBER_RE, "")
+    x = _c(x)
+    return F.when(x.contains("〔"), F.regexp_replace(x, BRACKET_NUMBER_RE, "")).otherwise(x)
 
 
 def table_rules(x) -> Column:

@@ -109,11 +109,11 @@ def report_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.col("table_id"), F.lit("-R"), r.cast("string"), F.lit("C"), c.cast("string")))
     h = key * 1103 + r * 131 + c * 31
     n0, n1, n2, n3 = h % 17, _div(h, 17) % 13, _div(h, 221) % 11, _div(h, 2431) % 45
-    w = F.when(inner, F.array(n0, n1, n2, 100 - n0 - n1 - n2)) \
-        .when(r == 0, F.array(n0, 100 - n0 - n2 - n3, n2, n3)) \
-        .otherwise(F.array(n0, n1, 100 - n0 - n1 - n3, n3))
+    w1 = F.when(inner, n1).when(r == 0, 100 - n0 - n2 - n3).otherwise(n1)
+    w2 = F.when(inner, n2).when(r == 0, n2).otherwise(100 - n0 - n1 - n3)
+    w3 = F.when(inner, 100 - n0 - n1 - n2).otherwise(n3)
     typ = F.when(unfilled | ((key + r * 2 + c) % 31 == 0), F.lit(None)).otherwise(
-        F.transform(w, lambda v: v.cast("double") / F.lit(100.0)))
+        F.array(*[w.cast("double") / F.lit(100.0) for w in (n0, w1, w2, w3)]))
     return g.select(
         "doc_id", "table_id", "table_ord", r.cast("int").alias("r"), c.cast("int").alias("c"),
         (r * N_COLS + c).cast("int").alias("src_ord"), cell_id.alias("cell_id"),
