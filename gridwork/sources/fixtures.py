@@ -36,7 +36,11 @@ def doc_id_of(custkey: Column) -> Column:
 
 
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items numbered inside their order (``r`` from 1) with the order's customer."""
+    """Line items numbered inside their order (``r`` from 1) with the order's customer.
+
+    Input derivation only: the numbering is a window per order, so one huge
+    order would be numbered in one task (``operators.ranking.global_rank``
+    gives a range-partitioned alternative at the cost of a checkpoint)."""
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_shipdate")
