@@ -111,8 +111,9 @@ def report_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(unfilled, F.lit(None).cast("string")).when(blank, F.lit("")).otherwise(F.col("t"))
     cell_id = F.when(unfilled | ((key + r + c) % 29 == 0), F.lit(None).cast("string")).otherwise(
         F.concat(F.col("table_id"), F.lit("-R"), r.cast("string"), F.lit("C"), c.cast("string")))
-    h = key * 1103 + r * 131 + c * 31
-    n0, n1, n2, n3 = h % 17, _div(h, 17) % 13, _div(h, 221) % 11, _div(h, 2431) % 45
+    g = g.withColumn("_h", key * 1103 + r * 131 + c * 31)
+    n0, n1, n2, n3 = (F.expr("_h % 17"), F.expr("(_h div 17) % 13"), F.expr("(_h div 221) % 11"),
+                      F.expr("(_h div 2431) % 45"))
     w1 = F.when(inner, n1).when(r == 0, 100 - n0 - n2 - n3).otherwise(n1)
     w2 = F.when(inner, n2).when(r == 0, n2).otherwise(100 - n0 - n1 - n3)
     w3 = F.when(inner, 100 - n0 - n1 - n2).otherwise(n3)
