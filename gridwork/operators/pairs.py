@@ -36,19 +36,30 @@ def question_pairs(questions: DataFrame, sentences: DataFrame) -> DataFrame:
 
 
 def one_negative_pairs(questions: DataFrame, sentences: DataFrame, seed: int = 0) -> DataFrame:
-    """All positives of each question plus one negative picked by md5
-    rank; then J2. The pick is an aggregate (``min_by``), so a question with a
-    huge table is reduced map-side."""
+    """All positives of each question plus one negative, then J2.
+
+    The negative is the sentence of the question's table with the smallest
+    md5 key among those whose cell is not the question's cell. Per table only
+    two candidates can win - the smallest-key sentence and the smallest-key
+    one with a different cell id - so both are aggregates and the question x
+    sentence product is never built; positives are an equi-join on the cell.
+    """
     q = questions.select("qid", *TABLE_KEY, "question", F.col("cell_id").alias("target"))
-    s = sentences.select(*TABLE_KEY, "sentence", "cell_id")
-    j = q.join(s, TABLE_KEY).withColumn(
-        "pos", F.coalesce(F.col("cell_id") == F.col("target"), F.lit(False)))
-    pos = j.filter("pos").select(F.lit(1).alias("label"), "question", "sentence")
-    neg = (j.filter(~F.col("pos"))
-           .withColumn("_k", rand_key(seed, "qid", "cell_id", "sentence"))
-           .groupBy("qid")
-           .agg(F.min_by(F.struct("question", "sentence"), "_k").alias("x"))
-           .select(F.lit(0).alias("label"), "x.question", "x.sentence"))
+    s = sentences.select(*TABLE_KEY, "sentence", "cell_id").withColumn(
+        "_k", rand_key(seed, "cell_id", "sentence"))
+    pos = q.join(s.withColumnRenamed("cell_id", "target"), [*TABLE_KEY, "target"])
+    pos = pos.select(F.lit(1).alias("label"), "question", "sentence")
+    first = s.groupBy(*TABLE_KEY).agg(F.min_by("sentence", "_k").alias("s1"),
+                                      F.min_by("cell_id", "_k").alias("id1"))
+    second = (s.join(first, TABLE_KEY)
+              .filter(~F.coalesce(F.col("cell_id") == F.col("id1"), F.lit(False)))
+              .groupBy(*TABLE_KEY).agg(F.min_by("sentence", "_k").alias("s2")))
+    cand = first.join(second, TABLE_KEY, "left")
+    neg = (q.join(cand, TABLE_KEY)
+           .select(F.lit(0).alias("label"), "question",
+                   F.when(~F.coalesce(F.col("id1") == F.col("target"), F.lit(False)), F.col("s1"))
+                   .otherwise(F.col("s2")).alias("sentence"))
+           .filter(F.col("sentence").isNotNull()))
     return pos.unionByName(neg).dropDuplicates()
 
 

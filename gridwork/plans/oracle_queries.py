@@ -169,14 +169,13 @@ ORACLE["qa_pairs"] = with_(CONV, _PAIRS) + "\nSELECT label, question, sentence F
 
 ORACLE["qa_pairs_one_negative"] = with_(CONV, """
 j AS (
-  SELECT q.qid, q.question, s.sentence, s.cell_id, coalesce(s.cell_id = q.cell_id, false) AS pos
+  SELECT q.qid, q.question, s.sentence, s.cell_id, coalesce(s.cell_id = q.cell_id, false) AS pos,
+         md5(concat_ws('|', '0', coalesce(s.cell_id, '␀'), coalesce(s.sentence, '␀'))) AS k
   FROM questions q JOIN csent s ON s.doc_id = q.doc_id AND s.table_id = q.table_id
 ),
 neg AS (
   SELECT qid, arg_min(question, k) AS question, arg_min(sentence, k) AS sentence
-  FROM (SELECT *, md5(concat_ws('|', '0', coalesce(qid, '␀'), coalesce(cell_id, '␀'), coalesce(sentence, '␀'))) AS k
-        FROM j WHERE NOT pos)
-  GROUP BY qid
+  FROM j WHERE NOT pos GROUP BY qid
 )""") + """
 SELECT DISTINCT * FROM (
   SELECT 1 AS label, question, sentence FROM j WHERE pos
