@@ -30,14 +30,14 @@ def report_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("normalized_slots")
 def normalized_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C1-C12 + D1-D5 + D7: every slot's final text."""
-    slots, _ = report.normalized_report(spark, sf_dir)
+    slots, _ = report.normalized_report(spark, sf_dir, reused=False)
     return slots.select("doc_id", "table_id", "r", "c", "text")
 
 
 @register("table_status")
 def table_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status F/U/N of every table and whether it took a carried unit."""
-    _, tables = report.normalized_report(spark, sf_dir)
+    _, tables = report.normalized_report(spark, sf_dir, reused=False)
     return tables.select("doc_id", "table_id", "status", "carried")
 
 
@@ -118,7 +118,7 @@ def append_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 def split_variants_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """splits from 1, empty cells counted, four variants."""
     from gridwork.operators.split import best_splits as bs
-    slots, _ = report.normalized_report(spark, sf_dir)
+    slots, _ = report.normalized_report(spark, sf_dir, reused=False)
     return bs(slots, min_split=1, count_empty=True).drop("score")
 
 
@@ -155,7 +155,7 @@ def include_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 def split_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I2 + I3: accuracy of the four split variants against the gold splits."""
     from gridwork.operators.evaluate import split_accuracy as acc
-    slots, _ = report.normalized_report(spark, sf_dir)
+    slots, _ = report.normalized_report(spark, sf_dir, reused=False)
     from gridwork.operators.split import best_splits as bs
     return acc(_gold(spark, sf_dir), bs(slots))
 
