@@ -60,6 +60,8 @@ def _nfkc_batch(s: pd.Series) -> pd.Series:
 def nfkc(x) -> Column:
     """Unicode compatibility fold. ASCII text is NFKC-invariant, so only
     non-ASCII rows are shipped to Python (others travel as Arrow nulls)."""
+    from gridwork.session import ship_package
+    ship_package()
     x = _c(x)
     return F.coalesce(_nfkc_batch(F.when(x.rlike("[^\\x00-\\x7F]"), x)), x)
 
