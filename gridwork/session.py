@@ -46,7 +46,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     reach; it is used as is. Only when it is unset (tests, a laptop) a
     private folder is made and set on the session.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server's checkpoint folder applies
+        return spark.conf.get("spark.checkpoint.dir", None) or ""
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="gridwork-ckpt-")
@@ -75,8 +78,12 @@ def ship_package(spark: SparkSession | None = None) -> None:
     spark = spark or SparkSession.getActiveSession()
     if spark is None:
         return
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
+    try:
+        sc = spark.sparkContext
+        key = sc.applicationId
+    except Exception:  # Spark Connect
+        sc, key = None, f"connect-{id(spark)}"
+    if key in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     base = os.path.dirname(pkg)
@@ -87,8 +94,11 @@ def ship_package(spark: SparkSession | None = None) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, base))
-    sc.addPyFile(path)
-    _SHIPPED.add(sc.applicationId)
+    if sc is not None:
+        sc.addPyFile(path)
+    else:
+        spark.addArtifacts(path, pyfile=True)
+    _SHIPPED.add(key)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
