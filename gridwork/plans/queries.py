@@ -133,8 +133,9 @@ def sentences_keep_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G7 (older variant): legacy split search, sentences for empty cells too."""
     from gridwork.operators.sentences import sentences
     from gridwork.operators.split import best_splits as bs
+    from gridwork.session import cut_lineage
     slots, _ = report.normalized_report(spark, sf_dir)
-    sp = bs(slots, variants=["probability_macro"], min_split=1, count_empty=True)
+    sp = cut_lineage(bs(slots, variants=["probability_macro"], min_split=1, count_empty=True))
     return sentences(slots, sp, keep_empty=True)
 
 
@@ -155,9 +156,12 @@ def include_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 def split_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I2 + I3: accuracy of the four split variants against the gold splits."""
     from gridwork.operators.evaluate import split_accuracy as acc
-    slots, _ = report.normalized_report(spark, sf_dir, reused=False)
     from gridwork.operators.split import best_splits as bs
-    return acc(_gold(spark, sf_dir), bs(slots))
+    from gridwork.session import cut_lineage
+    slots, _ = report.normalized_report(spark, sf_dir, reused=False)
+    # the accuracy reads the predictions twice (documents present, per-table
+    # match): store them once (one row per table and variant)
+    return acc(_gold(spark, sf_dir), cut_lineage(bs(slots)))
 
 
 @register("split_matrix")
