@@ -99,3 +99,19 @@ def test_cosine_rank(spark):
     q = spark.createDataFrame([("q", [1.0, 0.0])], "qid string, v array<double>")
     r = {x.id: (x.rank, x.score) for x in cosine_rank(q, docs, "qid", "v", "id", "v").collect()}
     assert r[1] == (1, 1.0) and r[3][0] == 2 and r[2] == (3, 0.0)
+
+
+def test_first_k_with_a_hot_group(spark):
+    from gridwork.operators.ranking import first_k_per_group
+    hot = spark.range(0, 20000).select(F.lit("hot").alias("g"), F.md5(F.col("id").cast("string")).alias("k"))
+    cold = spark.range(0, 30).select(F.concat(F.lit("c"), (F.col("id") % 3).cast("string")).alias("g"),
+                                     F.md5(F.col("id").cast("string")).alias("k"))
+    df = hot.unionByName(cold).withColumn("want", F.when(F.col("g") == "hot", 7001).otherwise(4))
+    rows = first_k_per_group(df.repartition(7), "g", "k", "want").collect()
+    kept = {}
+    for r in rows:
+        kept.setdefault(r.g, []).append((r.k, r._keep))
+    for g, xs in kept.items():
+        want = 7001 if g == "hot" else 4
+        xs.sort()
+        assert [k for k, keep in xs if keep] == [k for k, _ in xs[:want]], g
