@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import queries as Q
+from .license_scan import LEAST, NOTICE_K, NOTICES, PHRASE_K, PHRASES, SLACK, STRETCH
 from .sharding import fill_table
 from .url_reputation import LEAST_BOUND, STRONGEST, TWO_LABEL_SUFFIXES, WEAKEST, Z
 
@@ -67,4 +68,47 @@ d AS (SELECT doc_id, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))
 SELECT doc_id, slot, 'shard-' || lpad(o[slot + 1], 2, '0') AS shard FROM d, t
 """
 
-ORACLE: dict[str, str] = {"op4_url_reputation": OP4, "op9_shard_documents": OP9}
+_TEMPLATES = ", ".join(f"({i}, '{t}', '{label}', {k})" for i, (t, label, k) in enumerate(
+    [(t, label, PHRASE_K) for t, label in PHRASES] + [(t, label, NOTICE_K) for t, label in NOTICES]))
+
+OP10 = f"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+given(t, words, label, k) AS (VALUES {_TEMPLATES}),
+pos AS (
+  SELECT t, label, k, len(string_split(words, ' ')) AS size, unnest(range(0, size - k + 1)) AS tpos,
+    array_to_string(string_split(words, ' ')[tpos + 1:tpos + k], ' ') AS gram
+  FROM given),
+g AS (
+  SELECT r, k, p - 1 AS p, array_to_string(w[p:p + k - 1], ' ') AS gram
+  FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS p FROM d), (SELECT DISTINCT k FROM given)
+  WHERE p + k - 1 <= len(w)),
+votes AS (
+  SELECT r, t, label, g.k, size, p - tpos AS diagonal, list(DISTINCT tpos) AS ats, min(p) AS p0, max(p) AS p1
+  FROM g JOIN pos ON g.gram = pos.gram AND g.k = pos.k GROUP BY ALL),
+marked AS (
+  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER o <= CASE WHEN k = {PHRASE_K} THEN 0 ELSE floor(size * {SLACK}) END
+            THEN 0 ELSE 1 END AS fresh
+  FROM votes WINDOW o AS (PARTITION BY r, t ORDER BY diagonal)),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY r, t ORDER BY diagonal) AS span FROM marked),
+spans AS (
+  SELECT r, label, k, min(p0) AS p0, max(p1) + k - min(p0) AS len,
+    len(list_distinct(flatten(list(ats))))::DOUBLE / (size - k + 1) AS cover,
+    CASE WHEN k = {PHRASE_K} THEN cover = 1 ELSE cover >= {LEAST} AND len <= {STRETCH} * size END AS ok
+  FROM numbered GROUP BY r, t, label, k, size, span),
+s AS (
+  SELECT r, count(*) FILTER (ok AND k = {PHRASE_K}) AS n_base, min(p0) FILTER (ok AND k = {PHRASE_K}) AS first_word,
+    max(p0) FILTER (ok AND k = {PHRASE_K}) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (ok AND k = {PHRASE_K}) AS base_labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (ok) AS labels,
+    max(CASE WHEN ok THEN cover ELSE cover * {LEAST} END) AS score
+  FROM spans GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN s USING (r)
+"""
+
+ORACLE: dict[str, str] = {"op4_url_reputation": OP4, "op9_shard_documents": OP9, "op10_licenses": OP10}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridwork.session import read_table, ship_package
 
-from . import sharding, url_reputation
+from . import langid, license_scan, sharding, url_reputation
 
 #: Parameters of the queries.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -16,6 +16,10 @@ SHARDS = [f"shard-{i:02d}" for i in range(24)]
 TABLE_SIZE = 4_099
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"), RULES)
 
@@ -25,6 +29,10 @@ def op9_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs, "doc_id", SHARDS, TABLE_SIZE).select("doc_id", "slot", "shard")
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_url_reputation, op9_shard_documents)
+    f.__name__: f for f in (op3_language, op4_url_reputation, op9_shard_documents, op10_licenses)
 }
