@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from . import queries as Q
+from .common import SHINGLE
+from .decontam import LEAST as LEAST_CONTAINED
 from .license_scan import LEAST, NOTICE_K, NOTICES, PHRASE_K, PHRASES, SLACK, STRETCH
 from .sharding import fill_table
 from .url_reputation import LEAST_BOUND, STRONGEST, TWO_LABEL_SUFFIXES, WEAKEST, Z
@@ -111,4 +113,19 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_w
 FROM d LEFT JOIN s USING (r)
 """
 
-ORACLE: dict[str, str] = {"op4_url_reputation": OP4, "op9_shard_documents": OP9, "op10_licenses": OP10}
+OP8 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w
+           FROM documents WHERE text IS NOT NULL),
+i AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w,
+        least({SHINGLE}, len(w)) AS k FROM benchmark WHERE text IS NOT NULL),
+si AS (SELECT DISTINCT q, item_id, k, array_to_string(w[p:p + k - 1], ' ') AS s
+       FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS p FROM i WHERE len(w) > 0)),
+n AS (SELECT q, count(*) AS n FROM si GROUP BY q),
+sd AS (SELECT DISTINCT r, doc_id, k, array_to_string(w[p:p + k - 1], ' ') AS s
+       FROM (SELECT r, doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d), (SELECT DISTINCT k FROM si)
+       WHERE p + k - 1 <= len(w))
+SELECT doc_id, item_id, n AS n_shingles, count(*) AS n_shared, count(*)::DOUBLE / n AS containment
+FROM sd JOIN si USING (k, s) JOIN n USING (q) GROUP BY r, q, doc_id, item_id, n HAVING count(*) >= {LEAST_CONTAINED} * n
+"""
+
+ORACLE: dict[str, str] = {"op8_contained_items": OP8, "op4_url_reputation": OP4, "op9_shard_documents": OP9, "op10_licenses": OP10}

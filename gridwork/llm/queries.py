@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridwork.session import read_table, ship_package
+from gridwork.session import read_table
 
-from . import langid, license_scan, sharding, url_reputation
+from . import decontam, langid, license_scan, packing, sharding, url_reputation
 
 #: Parameters of the queries.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 SHARDS = [f"shard-{i:02d}" for i in range(24)]
 TABLE_SIZE = 4_099
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +26,14 @@ def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"), RULES)
 
 
+def op5_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op8_contained_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op9_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id")
     return sharding.place(docs, "doc_id", SHARDS, TABLE_SIZE).select("doc_id", "slot", "shard")
@@ -34,5 +44,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_language, op4_url_reputation, op9_shard_documents, op10_licenses)
+    f.__name__: f for f in (op3_language, op4_url_reputation, op5_pack_documents, op8_contained_items, op9_shard_documents, op10_licenses)
 }
