@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridwork.session import read_table
 
-from . import decontam, langid, license_scan, packing, sharding, url_reputation
+from . import decontam, langid, license_scan, order_minhash, packing, sharding, url_reputation
 
 #: Parameters of the queries.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -30,6 +30,10 @@ def op5_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op8_contained_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -44,5 +48,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_language, op4_url_reputation, op5_pack_documents, op8_contained_items, op9_shard_documents, op10_licenses)
+    f.__name__: f for f in (op3_language, op4_url_reputation, op5_pack_documents, op6_near_duplicates, op8_contained_items, op9_shard_documents, op10_licenses)
 }
