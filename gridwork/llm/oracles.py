@@ -7,7 +7,9 @@ from .common import SHINGLE
 from .decontam import LEAST as LEAST_CONTAINED
 from .license_scan import LEAST, NOTICE_K, NOTICES, PHRASE_K, PHRASES, SLACK, STRETCH
 from .sharding import fill_table
+from .topk import SCALE
 from .url_reputation import LEAST_BOUND, STRONGEST, TWO_LABEL_SUFFIXES, WEAKEST, Z
+from .warc_fixity import FILE_PAGES
 
 _TWO = ", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES)
 _RULES = ", ".join(f"('{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{v}')" for r, v in Q.RULES)
@@ -128,4 +130,36 @@ SELECT doc_id, item_id, n AS n_shingles, count(*) AS n_shared, count(*)::DOUBLE
 FROM sd JOIN si USING (k, s) JOIN n USING (q) GROUP BY r, q, doc_id, item_id, n HAVING count(*) >= {LEAST_CONTAINED} * n
 """
 
-ORACLE: dict[str, str] = {"op8_contained_items": OP8, "op4_url_reputation": OP4, "op9_shard_documents": OP9, "op10_licenses": OP10}
+OP2 = f"""
+WITH rec AS (
+  SELECT coalesce(floor(page_id / {FILE_PAGES})::BIGINT, -1) AS file, page_id AS record_id,
+    encode('WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '')
+      || '>\r\nWARC-Target-URI: ' || coalesce(regexp_replace(url, '[\r\n]', '', 'g'), '') || '\r\nContent-Length: '
+      || octet_length(encode(coalesce(html, ''))) || '\r\n\r\n' || coalesce(html, '') || '\r\n\r\n') AS bytes
+  FROM pages),
+placed AS (
+  SELECT *, octet_length(bytes) AS length,
+    ('0x' || substr(md5(coalesce(record_id, -1)::VARCHAR), 1, 8))::BIGINT AS drawn,
+    coalesce(sum(octet_length(bytes)) OVER (PARTITION BY file ORDER BY record_id, sha256(bytes)
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset"
+  FROM rec)
+SELECT file, "offset", record_id, length, CASE WHEN drawn % {Q.LOST_EVERY} = 1 THEN 'missing' ELSE 'corrupt' END AS kind
+FROM placed WHERE drawn % {Q.LOST_EVERY} = 1 OR drawn % {Q.CORRUPT_EVERY} = 0
+"""
+
+OP7 = f"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * {SCALE})) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, max(list_inner_product(q.v, c.v))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % {Q.QUERY_EVERY} = 0
+  GROUP BY ALL),
+r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= {Q.BEST}
+"""
+
+ORACLE: dict[str, str] = {
+    "op2_fixity_audit": OP2, "op4_url_reputation": OP4, "op7_best_vectors": OP7, "op8_contained_items": OP8,
+    "op9_shard_documents": OP9, "op10_licenses": OP10}

@@ -5,19 +5,35 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridwork.session import read_table
 
-from . import decontam, langid, license_scan, order_minhash, packing, sharding, url_reputation
+from . import decontam, langid, license_scan, order_minhash, packing, sharding, topk, url_reputation, warc_fixity
 
 #: Parameters of the queries.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 SHARDS = [f"shard-{i:02d}" for i in range(24)]
 TABLE_SIZE = 4_099
+QUERY_EVERY, BEST = 100, 10
+#: One page in so many is corrupt in the second replica, one in so many is lost.
+CORRUPT_EVERY, LOST_EVERY = 97, 193
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def _md5_number(c: Column) -> Column:
+    return F.conv(F.substring(F.md5(c.cast("string")), 1, 8), 16, 10).cast("long")
+
+
+def op2_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as archive records against a second replica with damage by rule."""
+    records = warc_fixity.warc_records(read_table(spark, sf_dir, "pages"))
+    drawn = _md5_number(F.coalesce(F.col("record_id"), F.lit(-1)))
+    replica = warc_fixity.damaged(records, drawn % CORRUPT_EVERY == 0, drawn % LOST_EVERY == 1)
+    return warc_fixity.audit(records, replica).select("file", "offset", "record_id", "length", "kind")
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
@@ -34,6 +50,11 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op7_best_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return topk.search(vectors.filter(vectors["vec_id"] % QUERY_EVERY == 0), vectors, BEST)
+
+
 def op8_contained_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -48,5 +69,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_language, op4_url_reputation, op5_pack_documents, op6_near_duplicates, op8_contained_items, op9_shard_documents, op10_licenses)
+    f.__name__: f for f in (
+        op2_fixity_audit, op3_language, op4_url_reputation, op5_pack_documents, op6_near_duplicates,
+        op7_best_vectors, op8_contained_items, op9_shard_documents, op10_licenses)
 }
