@@ -183,3 +183,13 @@ def identify(docs: DataFrame) -> DataFrame:
     model = learn(docs.filter(~held_out(docs["doc_id"])))
     out = predict(docs, model, ("doc_id",))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """``docs`` without those that are in no learnt language: no letter, or a cosine of 0 or less with every prototype.
+
+    Documents that share an id stay if one of them is identified."""
+    known = predict(docs, learn(docs.filter(~held_out(docs["doc_id"]))), ("doc_id",))
+    rejected = (known.groupBy("doc_id").agg(F.max("score").alias("_best")).filter("_best = 0")
+                .select(F.col("doc_id").alias("_rejected")))
+    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["_rejected"]), "left_anti")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridwork.session import read_table
 
-from . import decontam, langid, license_scan, order_minhash, packing, sharding, topk, url_reputation, warc_fixity
+from . import decontam, html_extract, langid, license_scan, order_minhash, packing, sharding, topk, url_reputation, warc_fixity
 
 #: Parameters of the queries.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -22,6 +22,10 @@ CORRUPT_EVERY, LOST_EVERY = 97, 193
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
 def _md5_number(c: Column) -> Column:
     return F.conv(F.substring(F.md5(c.cast("string")), 1, 8), 16, 10).cast("long")
 
@@ -70,6 +74,6 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_fixity_audit, op3_language, op4_url_reputation, op5_pack_documents, op6_near_duplicates,
-        op7_best_vectors, op8_contained_items, op9_shard_documents, op10_licenses)
+        op1_main_text, op2_fixity_audit, op3_language, op4_url_reputation, op5_pack_documents,
+        op6_near_duplicates, op7_best_vectors, op8_contained_items, op9_shard_documents, op10_licenses)
 }
