@@ -83,7 +83,7 @@ def _strength(children: DataFrame) -> Column:
         F.sum(n * (F.col("good") / n - m) ** 2).alias("spread"), F.sum(m * (1 - m)).alias("alone"),
         F.sum(n).alias("all"), F.sum(n * m * (1 - m)).alias("unit"), F.sum(n * n).alias("squares"))
     unit = F.col("unit") / F.col("all")
-    var = (F.col("spread") - F.col("alone")) / (F.col("all") - F.col("squares") / F.col("all"))
+    var = F.try_divide(F.col("spread") - F.col("alone"), F.col("all") - F.col("squares") / F.col("all"))  # a single child: null
     fitted = F.when(var > 0, unit / F.when(var > 0, var) - 1)
     return s.select(F.least(F.lit(STRONGEST), F.greatest(F.lit(WEAKEST), F.coalesce(fitted, F.lit(STRONGEST))))).scalar()
 

@@ -122,7 +122,7 @@ def audit(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def damaged(records: DataFrame, corrupt: Column, lost: Column) -> DataFrame:
     """A copy of a replica whose ``corrupt`` records have their middle byte overwritten and whose ``lost`` are gone."""
-    half = F.floor(F.length("bytes") / 2).cast("int")
-    middle = F.concat(F.expr("substring(bytes, 1, cast(floor(length(bytes) / 2) as int))"), F.lit("\u0001").cast("binary"),
-                      F.expr("substring(bytes, cast(floor(length(bytes) / 2) as int) + 2)"))
-    return records.filter(~lost).withColumn("bytes", F.when(corrupt & (half > 0), middle).otherwise(F.col("bytes")))
+    half = "cast(floor(length(bytes) / 2) as int)"
+    middle = F.concat(F.expr(f"substring(bytes, 1, {half})"), F.lit("\u0001").cast("binary"),
+                      F.expr(f"substring(bytes, {half} + 2)"))
+    return records.filter(~lost).withColumn("bytes", F.when(corrupt & (F.length("bytes") > 1), middle).otherwise(F.col("bytes")))
