@@ -172,11 +172,6 @@ def bracket_number(x) -> Column:
     return F.when(x.contains("〔"), F.regexp_replace(x, BRACKET_NUMBER_RE, "")).otherwise(x)
 
 
-def table_rules(x) -> Column:
-    """The rules applied after unit scaling."""
-    return yen_sen(birth_date(date_iso(stock_unit(bracket_number(note_marker(x))))))
-
-
 # C1..C6 and the post-scaling rules as step lists for :func:`with_steps`.
 NORMALIZE_STEPS = [nfkc, drop_space, drop_comma_triangles, magnitude_suffix, rstrip_units]
 PRE_SCALE_STEPS = [drop_space, drop_comma_triangles, magnitude_suffix, rstrip_units,
@@ -190,12 +185,6 @@ def is_decimal_text(x) -> Column:
     return _c(x).rlike(PLAIN_DECIMAL_RE)
 
 
-def to_decimal(x) -> Column:
-    """Parse or NULL."""
-    x = _c(x)
-    return F.when(is_decimal_text(x), x.try_cast("decimal(25,8)"))
-
-
 def is_number(x) -> Column:
     """C14 (older variant): Python ``float()`` would accept the text."""
     return _c(x).rlike(FLOAT_TEXT_RE)

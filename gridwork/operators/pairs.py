@@ -36,42 +36,49 @@ def question_pairs(questions: DataFrame, sentences: DataFrame) -> DataFrame:
 
 
 def one_negative_pairs(questions: DataFrame, sentences: DataFrame, seed: int = 0) -> DataFrame:
-    """All positives of each question plus one negative, then J2.
+    """All positives of each question plus one negative of its own, then J2.
 
-    The negative is the sentence of the question's table with the smallest
-    md5 key among those whose cell is not the question's cell. Per table only
-    two candidates can win - the smallest-key sentence and the smallest-key
-    one with a different cell id - so both are aggregates and the question x
-    sentence product is never built; positives are an equi-join on the cell.
+    Sentences are numbered inside their table by (cell, sentence), so those of
+    one cell are one run. Each question draws, by the hash of the seed and its
+    id, one of the sentences outside its own cell's run and meets it in an
+    equi-join on (table, number); a question x sentence product is never
+    built. Without a sentence of another cell there is no negative.
     """
     q = questions.select("qid", *TABLE_KEY, "question", F.col("cell_id").alias("target"))
-    s = sentences.select(*TABLE_KEY, "sentence", "cell_id").withColumn(
-        "_k", rand_key(seed, "cell_id", "sentence"))
+    s = sentences.select(*TABLE_KEY, "sentence", "cell_id")
     pos = q.join(s.withColumnRenamed("cell_id", "target"), [*TABLE_KEY, "target"])
     pos = pos.select(F.lit(1).alias("label"), "question", "sentence")
-    first = s.groupBy(*TABLE_KEY).agg(F.min_by("sentence", "_k").alias("s1"),
-                                      F.min_by("cell_id", "_k").alias("id1"))
-    second = (s.join(first, TABLE_KEY)
-              .filter(~F.coalesce(F.col("cell_id") == F.col("id1"), F.lit(False)))
-              .groupBy(*TABLE_KEY).agg(F.min_by("sentence", "_k").alias("s2")))
-    cand = first.join(second, TABLE_KEY, "left")
-    neg = (q.join(cand, TABLE_KEY)
-           .select(F.lit(0).alias("label"), "question",
-                   F.when(~F.coalesce(F.col("id1") == F.col("target"), F.lit(False)), F.col("s1"))
-                   .otherwise(F.col("s2")).alias("sentence"))
-           .filter(F.col("sentence").isNotNull()))
+
+    ranked = global_rank(s, [*TABLE_KEY, "cell_id", "sentence"], out="_rank")
+    tables = ranked.groupBy(*TABLE_KEY).agg(F.min("_rank").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    runs = (ranked.filter("cell_id is not null").groupBy(*TABLE_KEY, F.col("cell_id").alias("target"))
+            .agg(F.min("_rank").alias("_start"), F.count(F.lit(1)).alias("_own")))
+    own, start = F.coalesce("_own", F.lit(0)), F.coalesce(F.col("_start") - F.col("_first"), F.lit(0))
+    number = F.conv(F.substring(rand_key(seed, "qid"), 1, 8), 16, 10).cast("long")
+    drawn = (q.join(tables, TABLE_KEY).join(runs, [*TABLE_KEY, "target"], "left").filter(F.col("_n") > own)
+             .withColumn("_draw", number % (F.col("_n") - own)))
+    drawn = drawn.withColumn("_rank", F.col("_first") + F.when(F.col("_draw") < start, F.col("_draw"))
+                             .otherwise(F.col("_draw") + own))
+    neg = (drawn.select(*TABLE_KEY, "_rank", "question").join(ranked, [*TABLE_KEY, "_rank"])
+           .select(F.lit(0).alias("label"), "question", "sentence"))
     return pos.unionByName(neg).dropDuplicates()
 
 
-def halve_classes(nli: DataFrame, seed: int = 42, halved=(CONTRADICTION, NEUTRAL)) -> DataFrame:
-    """Keep all rows of other classes and exactly ``round(n/2)`` (half to
-    even, as Python) rows of each halved class, chosen by md5 rank."""
+def halve_classes(nli: DataFrame, seed: int = 42, halved=(CONTRADICTION, NEUTRAL), kept=(ENTAILMENT,)) -> DataFrame:
+    """All rows of the ``kept`` class and exactly ``round(n/2)`` (half to
+    even, as Python) rows of each halved class, chosen by md5 rank. Rows of
+    other classes (and of none) are left out; see :func:`unknown_classes`."""
     keyed = nli.withColumn("_k", rand_key(seed, *nli.columns))
     part = keyed.filter(F.col("label").isin(*halved))
-    sizes = part.groupBy("label").agg(F.bround(F.count(F.lit(1)) / 2.0, 0).cast("long").alias("_want"))
-    kept = (first_k_per_group(part.join(F.broadcast(sizes), "label"), "label", "_k", "_want")
-            .filter("_keep").drop("_keep", "_want"))
-    return keyed.filter(~F.col("label").isin(*halved)).unionByName(kept).drop("_k")
+    sizes = part.groupBy("label").agg(F.bround(F.count(F.lit(1)) / 2.0, 0).cast("long").alias("k"))
+    half = first_k_per_group(part, "label", "_k", sizes).filter("_keep").drop("_keep")
+    return keyed.filter(F.col("label").isin(*kept)).unionByName(half).drop("_k")
+
+
+def unknown_classes(nli: DataFrame, known=(ENTAILMENT, CONTRADICTION, NEUTRAL)) -> DataFrame:
+    """``(label, n)`` of the classes that :func:`halve_classes` leaves out."""
+    return (nli.filter(~F.coalesce(F.col("label").isin(*known), F.lit(False)))
+            .groupBy("label").agg(F.count(F.lit(1)).alias("n")))
 
 
 def map_labels(nli: DataFrame, mapping=None) -> DataFrame:
@@ -91,7 +98,6 @@ def train_eval_split(df: DataFrame, test_size: float = 0.2, seed: int = 42) -> D
     """``split`` = 'eval' for exactly ``ceil(test_size * n)`` rows (smallest
     md5 keys), 'train' for the rest."""
     keyed = df.withColumn("_k", rand_key(seed, *df.columns)).withColumn("_g", F.lit(0))
-    n = keyed.groupBy("_g").agg(F.ceil(F.count(F.lit(1)) * F.lit(test_size)).cast("long").alias("_want"))
-    marked = first_k_per_group(keyed.join(F.broadcast(n), "_g"), "_g", "_k", "_want")
-    return marked.withColumn("split", F.when(F.col("_keep"), "eval").otherwise("train")) \
-        .drop("_keep", "_want", "_g", "_k")
+    sizes = keyed.groupBy("_g").agg(F.ceil(F.count(F.lit(1)) * F.lit(test_size)).cast("long").alias("k"))
+    marked = first_k_per_group(keyed, "_g", "_k", sizes)
+    return marked.withColumn("split", F.when(F.col("_keep"), "eval").otherwise("train")).drop("_keep", "_g", "_k")

@@ -37,11 +37,29 @@ def global_rank(df: DataFrame, order, out: str = "rank", partitions: int | None
             .drop("_pid", "_mid", "_off"))
 
 
-def first_k_per_group(df: DataFrame, group: str, key: str, k_col: str, out: str = "_keep") -> DataFrame:
-    """Marks the ``k_col`` rows with the smallest ``key`` of every ``group``
-    (exact counts; groups may be huge: ranks come from :func:`global_rank`)."""
-    ranked = global_rank(df, [group, key], out="_grank")
-    starts = ranked.groupBy(group).agg(F.min("_grank").alias("_grank0"))
-    return (ranked.join(starts, group)
-            .withColumn(out, (F.col("_grank") - F.col("_grank0") + 1) <= F.col(k_col))
-            .drop("_grank", "_grank0"))
+#: Hex digits of an md5 key that its counts are kept by.
+PREFIX = 4
+
+
+def first_k_per_group(df: DataFrame, group: str, key: str, sizes: DataFrame, out: str = "_keep") -> DataFrame:
+    """Marks, in every ``group``, the rows with the smallest md5 ``key``: exactly
+    ``k`` of them, as ``sizes(group, k)`` says (one row per group, a handful).
+
+    The counts of the keys' first PREFIX digits (at most 65,536 a group, added
+    up before they are shuffled) tell in which prefix the k-th key lies. Rows
+    before it are kept and rows after it are not, without moving any; only the
+    rows of that one prefix are numbered.
+    """
+    prefix = F.substring(F.col(key), 1, PREFIX)
+    counts = df.groupBy(group, prefix.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    edge = (counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(F.broadcast(sizes), group)
+            .filter((F.col("_before") <= F.col("k")) & (F.col("k") < F.col("_before") + F.col("_n")))
+            .select(group, F.col("_p").alias("_edge"), (F.col("k") - F.col("_before")).alias("_more")))
+    # a group that is kept whole has no edge: all its prefixes lie before
+    placed = df.join(F.broadcast(edge), group, "left").withColumn("_p", prefix)
+    sure = placed.filter(F.col("_edge").isNull() | (F.col("_p") != F.col("_edge"))).withColumn(
+        out, F.coalesce(F.col("_p") < F.col("_edge"), F.lit(True)))
+    number = F.row_number().over(Window.partitionBy(group).orderBy(key))
+    edges = placed.filter(F.col("_p") == F.col("_edge")).withColumn(out, number <= F.col("_more"))
+    return sure.unionByName(edges).drop("_p", "_edge", "_more")

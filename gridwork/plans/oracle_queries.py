@@ -169,14 +169,17 @@ ORACLE["qa_pairs"] = with_(CONV, _PAIRS) + "\nSELECT label, question, sentence F
 
 ORACLE["qa_pairs_one_negative"] = with_(CONV, """
 j AS (
-  SELECT q.qid, q.question, s.sentence, s.cell_id, coalesce(s.cell_id = q.cell_id, false) AS pos,
-         md5(concat_ws('|', '0', coalesce(s.cell_id, '␀'), coalesce(s.sentence, '␀'))) AS k
+  SELECT q.qid, q.question, s.sentence, s.cell_id, coalesce(s.cell_id = q.cell_id, false) AS pos
   FROM questions q JOIN csent s ON s.doc_id = q.doc_id AND s.table_id = q.table_id
 ),
-neg AS (
-  SELECT qid, arg_min(question, k) AS question, arg_min(sentence, k) AS sentence
-  FROM j WHERE NOT pos GROUP BY qid
-)""") + """
+-- every question draws one of the sentences of its table that aren't its own cell's
+others AS (
+  SELECT qid, question, sentence,
+         row_number() OVER (PARTITION BY qid ORDER BY cell_id NULLS FIRST, sentence) - 1 AS n,
+         ('0x' || substr(md5('0|' || qid), 1, 8))::BIGINT % count(*) OVER (PARTITION BY qid) AS drawn
+  FROM j WHERE NOT pos
+),
+neg AS (SELECT question, sentence FROM others WHERE n = drawn)""") + """
 SELECT DISTINCT * FROM (
   SELECT 1 AS label, question, sentence FROM j WHERE pos
   UNION ALL SELECT 0 AS label, question, sentence FROM neg)"""
@@ -231,3 +234,40 @@ SELECT doc_id, table_id, r, c, text,
        CASE text WHEN '数量' THEN 'quantity' WHEN '金額' THEN 'amount' WHEN '割引' THEN 'discount'
                  WHEN '出荷日' THEN 'ship date' ELSE text END AS translated
 FROM slots WHERE text IS NOT NULL"""
+
+# ------------------------------------------------------ sources, sinks --
+ORACLE["corpus_scan"] = with_(GRID, EXPECTED_EXTRACT) + \
+    "\nSELECT doc_id, table_id, r, c, cell_id, text FROM expected"
+
+ORACLE["slots_round_trip"] = with_(GRID) + \
+    "\nSELECT doc_id, page_id, table_id, table_ord, r, c, cell_id, text FROM slots"
+
+ORACLE["rules_file"] = """
+WITH lines AS (
+  SELECT '(' || replace(p_brand || p_type, ' ', '') || ')' AS key, p_size, p_partkey FROM part WHERE p_partkey % 5 <> 0)
+SELECT key, CAST(arg_max(p_size, p_partkey) AS VARCHAR) AS mult,
+       CAST(row_number() OVER (ORDER BY min(p_partkey)) AS INTEGER) AS ord
+FROM lines GROUP BY key"""
+
+ORACLE["questions_json"] = with_(CONV) + "\nSELECT qid, question, doc_id, table_id, cell_id FROM questions"
+
+ORACLE["json_round_trip"] = with_(CONV, GOLD) + """
+SELECT doc_id, table_id, v AS variant, CAST(row_split + i - 1 AS INTEGER) AS row_split, CAST(col_split AS INTEGER) AS col_split
+FROM gold0, (SELECT unnest(['argmax_micro', 'argmax_macro', 'probability_micro', 'probability_macro']) AS v,
+                    generate_subscripts(['a', 'b', 'c', 'd'], 1) AS i)
+WHERE row_split IS NOT NULL"""
+
+ORACLE["gold_json"] = with_(CONV, GOLD) + """
+SELECT doc_id, table_id, false AS is_include, CAST(row_split AS INTEGER) AS row_split, CAST(col_split AS INTEGER) AS col_split
+FROM gold0"""
+
+ORACLE["tsv_round_trip"] = with_(NLI) + "\nSELECT label, s1, s2 FROM nli"
+
+ORACLE["sentences_with_context"] = with_(CONV, GOLD) + """
+SELECT doc_id, table_id, 1 AS r, 2 AS c, sentence, cell_id, 'x' AS data FROM csent
+UNION ALL
+SELECT doc_id, table_id, -1, -1, '以下の文書は「' || table_id || '」について記述されています。', table_id || '-aboveparagraph', ''
+FROM gold0"""
+
+ORACLE["carry_per_file"] = with_(GRID, NORMALIZE) + """
+SELECT page_id, count(*) AS n_tables, count(*) FILTER (carried) AS n_carried FROM walk GROUP BY page_id"""

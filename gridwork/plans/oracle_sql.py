@@ -84,7 +84,8 @@ weights AS (
   FROM hashed
 ),
 grid AS (
-  SELECT doc_id, table_id, table_ord, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c,
+  SELECT doc_id, doc_id || '/part' || CAST(table_ord % 3 AS VARCHAR) || '.html' AS page_id,
+         table_id, table_ord, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c,
          CAST(r * 5 + c AS INTEGER) AS src_ord,
          CASE WHEN unfilled OR (table_ord + r + c) % 29 = 0 THEN NULL
               ELSE table_id || '-R' || CAST(r AS VARCHAR) || 'C' || CAST(c AS VARCHAR) END AS cell_id,
@@ -96,7 +97,7 @@ grid AS (
   FROM weights
 ),
 slots AS (
-  SELECT doc_id, table_id, table_ord, r, c, src_ord, cell_id, text,
+  SELECT doc_id, page_id, table_id, table_ord, r, c, src_ord, cell_id, text,
          CASE WHEN w IS NULL OR text IS NULL THEN NULL
               ELSE list_transform(w, lambda v: CAST(v AS DOUBLE) / CAST(100.0 AS DOUBLE)) END AS type
   FROM grid
@@ -172,7 +173,7 @@ def line_times(x: str, mult_col: str) -> str:
 
 NORMALIZE = f"""
 pre AS (
-  SELECT doc_id, table_id, table_ord, r, c, src_ord, cell_id, type,
+  SELECT doc_id, page_id, table_id, table_ord, r, c, src_ord, cell_id, type,
          {pre_rules(norm_text('text'))} AS text
   FROM slots
 ),
@@ -190,26 +191,26 @@ row_first AS (
   FROM marked WHERE anchor IS NOT NULL GROUP BY ALL
 ),
 tstat AS (
-  SELECT doc_id, table_id, max(table_ord) AS table_ord,
+  SELECT doc_id, page_id, table_id, max(table_ord) AS table_ord,
          CASE WHEN bool_or(anchor IS NOT NULL OR prefixed IS NOT NULL) THEN 'F'
               WHEN bool_or(coalesce(marker, false)) AND bool_or(coalesce(isnum, false)) THEN 'U'
               ELSE 'N' END AS status
   FROM marked GROUP BY ALL
 ),
 seqd AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY table_ord, table_id) AS pos FROM tstat
+  SELECT *, row_number() OVER (PARTITION BY doc_id, page_id ORDER BY table_ord, table_id) AS pos FROM tstat
 ),
-walk(doc_id, pos, table_id, status, stack, carried) AS (
-  SELECT doc_id, pos, table_id, status,
+walk(doc_id, page_id, pos, table_id, status, stack, carried) AS (
+  SELECT doc_id, page_id, pos, table_id, status,
          CASE WHEN status = 'N' THEN []::VARCHAR[] ELSE [status] END, false
   FROM seqd WHERE pos = 1
   UNION ALL
-  SELECT s.doc_id, s.pos, s.table_id, s.status,
+  SELECT s.doc_id, s.page_id, s.pos, s.table_id, s.status,
          CASE WHEN s.status <> 'N' THEN list_append(w.stack, s.status)
               WHEN len(w.stack) > 0 AND w.stack[len(w.stack)] = 'F' THEN w.stack[1:len(w.stack) - 1]
               ELSE w.stack END,
          s.status = 'N' AND len(w.stack) > 0 AND w.stack[len(w.stack)] = 'U'
-  FROM walk w JOIN seqd s ON s.doc_id = w.doc_id AND s.pos = w.pos + 1
+  FROM walk w JOIN seqd s ON s.doc_id = w.doc_id AND s.page_id = w.page_id AND s.pos = w.pos + 1
 ),
 scaled AS (
   SELECT m.doc_id, m.table_id, m.table_ord, m.r, m.c, m.src_ord, m.cell_id, m.type,
@@ -331,7 +332,7 @@ EXPECTED_EXTRACT = """
 ek AS (SELECT *, table_ord % 4 AS k FROM slots),
 expected AS (
   SELECT doc_id, table_id,
-         CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY table_ord) - 1 AS BIGINT) AS table_ord, r, c,
+         CAST(dense_rank() OVER (PARTITION BY doc_id, page_id ORDER BY table_ord) - 1 AS BIGINT) AS table_ord, r, c,
          CASE WHEN k = 2 AND r = 0 AND c = 4 THEN lag(cell_id) OVER (PARTITION BY table_id, r ORDER BY c)
               WHEN k = 1 AND r = 2 AND c = 0 THEN lag(cell_id) OVER (PARTITION BY table_id, c ORDER BY r)
               ELSE cell_id END AS cell_id,
@@ -343,9 +344,9 @@ expected AS (
 )"""
 
 EXPECTED_CONTEXT = f"""
-tabs2 AS (SELECT DISTINCT doc_id, table_id, table_ord FROM slots),
+tabs2 AS (SELECT DISTINCT doc_id, page_id, table_id, table_ord FROM slots),
 paras AS (
-  SELECT t.doc_id, t.table_id, t.table_ord,
+  SELECT t.doc_id, t.page_id, t.table_id, t.table_ord,
          CASE WHEN t.table_ord % 6 = 0 THEN NULL
               WHEN t.table_ord % 6 = 1 THEN 'div#pageDIV' || CAST(t.table_ord AS VARCHAR)
               ELSE '(' || CAST(t.table_ord % 9 AS VARCHAR) || ') 【' || o.o_orderpriority || '】 '
@@ -354,7 +355,7 @@ paras AS (
 ),
 ctx AS (
   SELECT doc_id, table_id,
-         coalesce(last_value(p IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY table_ord
+         coalesce(last_value(p IGNORE NULLS) OVER (PARTITION BY doc_id, page_id ORDER BY table_ord
                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '報告書 ' || doc_id) AS above
   FROM paras
 ),

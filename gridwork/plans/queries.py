@@ -292,11 +292,6 @@ def page_text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B1/H1 tokenizer on the driver's raw web pages (unclosed tags, scripts,
     comments, no keyed tables): every text block that could give a table its
     context, with its date flag. No HTML parser in DuckDB: row-count check."""
-    from gridwork.functions.text import has_date
-    from gridwork.operators.extract import parse_pages
+    from gridwork.operators.extract import text_blocks
     from gridwork.session import read_table
-    pages = read_table(spark, sf_dir, "pages").select(
-        F.lit("pages").alias("doc_id"), F.col("page_id").cast("string").alias("page_id"), "html")
-    el = parse_pages(pages).filter(F.col("kind") == "elem")
-    return el.select("page_id", "ord", "tag", F.length("text").alias("n_chars"),
-                     has_date("text").alias("has_date"))
+    return text_blocks(read_table(spark, sf_dir, "pages"))

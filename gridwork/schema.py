@@ -3,13 +3,16 @@
 ``slots`` is the core table: one row per grid position of every keyed table
 (long format). ``text`` NULL marks an unfilled slot, ``''`` an empty cell;
 ``src_ord`` identifies the source cell a spanned slot was copied from.
+``page_id`` is the report file: ``table_ord`` counts inside it and the unit
+carry-over stays in it; tables are keyed by ``TABLE_KEY`` (of a table id that
+several files of a document have, the last file's table is kept).
 """
 
 SLOTS = (
-    "doc_id string, table_id string, table_ord bigint, r int, c int, "
+    "doc_id string, page_id string, table_id string, table_ord bigint, r int, c int, "
     "src_ord int, cell_id string, text string, type array<double>"
 )
-SLOT_COLS = ["doc_id", "table_id", "table_ord", "r", "c", "src_ord", "cell_id", "text", "type"]
+SLOT_COLS = ["doc_id", "page_id", "table_id", "table_ord", "r", "c", "src_ord", "cell_id", "text", "type"]
 TABLE_KEY = ["doc_id", "table_id"]
 
 SENTENCES = (

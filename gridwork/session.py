@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,32 +41,35 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session.
-
-    On a cluster ``spark.checkpoint.dir`` names a folder every executor can
-    reach; it is used as is. Only when it is unset (tests, a laptop) a
-    private folder is made and set on the session.
-    """
+    """The shared folder that ``spark.checkpoint.dir`` names, which every
+    executor of a cluster can reach. Only in local mode, where it may be unset
+    (tests, a laptop), a private folder is made and set on the session."""
     try:
         sc = spark.sparkContext
-    except Exception:  # Spark Connect: the server's checkpoint folder applies
+    except Exception:  # Spark Connect: the server's setting applies
         return spark.conf.get("spark.checkpoint.dir", None) or ""
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="gridwork-ckpt-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", d)
-        except Exception:  # core confs may be read-only at runtime
-            pass
-    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably (survives executor loss) and cut its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a Parquet table in the shared folder and read it back.
+
+    Cuts the lineage and survives lost executors like ``checkpoint()``, but is
+    columnar and compressed, and keeps column statistics. The folder goes when
+    the session's JVM ends."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if hasattr(spark, "_jvm"):
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.parquet(path)
 
 
 _SHIPPED: set[str] = set()

@@ -35,6 +35,11 @@ def doc_id_of(custkey: Column) -> Column:
     return F.concat(F.lit("S"), F.lpad(s, F.greatest(F.lit(7), F.length(s)), "0"))
 
 
+def page_id_of(doc: Column, orderkey: Column) -> Column:
+    """The report file of an order's table: three files a document."""
+    return F.concat(doc, F.lit("/part"), (orderkey % 3).cast("string"), F.lit(".html"))
+
+
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items numbered inside their order (``r`` from 1) with the order's customer.
 
@@ -56,6 +61,7 @@ def _table_cols(df: DataFrame) -> DataFrame:
     return (df.withColumn("doc_id", doc)
             .withColumn("table_id", F.concat(F.col("doc_id"), F.lit("-0000000-tab"),
                                              F.col("o_orderkey").cast("string")))
+            .withColumn("page_id", page_id_of(doc, F.col("o_orderkey")))
             .withColumn("table_ord", F.col("o_orderkey"))
             .withColumn("k", F.col("o_orderkey") % 4))
 
@@ -71,7 +77,7 @@ def report_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     lines = _table_cols(report_lines(spark, sf_dir))
     data = lines.select(
-        "doc_id", "table_id", "table_ord", "k", "r",
+        "doc_id", "page_id", "table_id", "table_ord", "k", "r",
         F.explode(F.array(
             F.struct(F.lit(0).alias("c"), F.concat(F.lit("品目"), F.col("r").cast("string")).alias("t")),
             F.struct(F.lit(1).alias("c"), _num("l_quantity").alias("t")),
@@ -82,12 +88,12 @@ def report_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.struct(F.lit(3).alias("c"), _num("l_discount").alias("t")),
             F.struct(F.lit(4).alias("c"), _ymd("l_shipdate").alias("t")),
         )).alias("s"),
-    ).select("doc_id", "table_id", "table_ord", "k", "r", "s.c", "s.t")
+    ).select("doc_id", "page_id", "table_id", "table_ord", "k", "r", "s.c", "s.t")
 
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     keys = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
     heads = _table_cols(orders.join(keys, "o_orderkey", "left_semi")).select(
-        "doc_id", "table_id", "table_ord", "k", F.lit(0).alias("r"),
+        "doc_id", "page_id", "table_id", "table_ord", "k", F.lit(0).alias("r"),
         F.explode(F.array(
             F.struct(F.lit(0).alias("c"),
                      F.when(F.col("k") == 3, F.lit("(単位:百万円)")).otherwise(F.lit("")).alias("t")),
@@ -100,7 +106,7 @@ def report_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.when(F.col("k") < 2, F.lit("割引(%)")).otherwise(F.lit("割引")).alias("t")),
             F.struct(F.lit(4).alias("c"), F.lit("出荷日").alias("t")),
         )).alias("s"),
-    ).select("doc_id", "table_id", "table_ord", "k", "r", "s.c", "s.t")
+    ).select("doc_id", "page_id", "table_id", "table_ord", "k", "r", "s.c", "s.t")
 
     g = data.unionByName(heads)
     key = F.col("table_ord")
@@ -120,7 +126,7 @@ def report_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     typ = F.when(unfilled | ((key + r * 2 + c) % 31 == 0), F.lit(None)).otherwise(
         F.array(*[w.cast("double") / F.lit(100.0) for w in (n0, w1, w2, w3)]))
     return g.select(
-        "doc_id", "table_id", "table_ord", r.cast("int").alias("r"), c.cast("int").alias("c"),
+        "doc_id", "page_id", "table_id", "table_ord", r.cast("int").alias("r"), c.cast("int").alias("c"),
         (r * N_COLS + c).cast("int").alias("src_ord"), cell_id.alias("cell_id"),
         text.alias("text"), typ.alias("type"),
     ).select(*SLOT_COLS)
@@ -164,7 +170,7 @@ PAGE_HEAD = ('<html><head><title>報告書</title><script>var t="</p>";</script>
 
 
 def report_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One HTML page per document rendering its fixture tables in order.
+    """The HTML pages of every document, each rendering its fixture tables in order.
 
     Spans: for ``k = 2`` the header cell (0,3) spans two columns (the (0,4)
     cell is not written); for ``k = 1`` the cell (1,0) spans two rows (the
@@ -187,9 +193,9 @@ def report_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = F.when((r % 2 == 0) & (c == 2), F.concat(F.lit("<span> "), text, F.lit(" </span>"))) \
         .otherwise(text)
     cells = g.filter(~skipped).select(
-        "doc_id", "table_id", "table_ord", "r", "c",
+        "doc_id", "page_id", "table_id", "table_ord", "r", "c",
         F.concat(F.lit("<"), tag, attrs, F.lit(">"), inner, F.lit("</"), tag, F.lit(">")).alias("h"))
-    rows = cells.groupBy("doc_id", "table_id", "table_ord", "r").agg(
+    rows = cells.groupBy("doc_id", "page_id", "table_id", "table_ord", "r").agg(
         F.concat(F.lit("<tr>"), _ordered_join("c", "h"), F.lit("</tr>")).alias("h"))
     orders = read_table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("table_ord"), "o_orderpriority", "o_orderstatus", "o_orderdate")
@@ -200,16 +206,16 @@ def report_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.lit("<div><p>("), (F.col("table_ord") % 9).cast("string"), F.lit(") 【"),
                 F.col("o_orderpriority"), F.lit("】 "), F.col("o_orderstatus"),
                 F.lit("<!-- c --></p><p>作成日 "), _ymd("o_orderdate"), F.lit("<br></p></div>"))))
-    tables = rows.groupBy("doc_id", "table_id", "table_ord").agg(_ordered_join("r", "h").alias("h")) \
+    tables = rows.groupBy("doc_id", "page_id", "table_id", "table_ord").agg(_ordered_join("r", "h").alias("h")) \
         .join(orders, "table_ord") \
-        .select("doc_id", "table_ord",
+        .select("doc_id", "page_id", "table_ord",
                 F.concat(para, F.lit('<table table-id="'), F.col("table_id"), F.lit('">'), F.col("h"),
                          F.lit("</table>")).alias("h"))
-    return tables.groupBy("doc_id").agg(
+    return tables.groupBy("doc_id", "page_id").agg(
         F.concat(F.lit(PAGE_HEAD), F.lit("<h1>報告書 "), F.col("doc_id"),
                  F.lit("</h1><table><tr><td>nav</td></tr></table>"),
                  _ordered_join("table_ord", "h"), F.lit("</body></html>")).alias("html")
-    ).select("doc_id", F.concat(F.col("doc_id"), F.lit("/report.html")).alias("page_id"), "html")
+    ).select("doc_id", "page_id", "html")
 
 
 def _ordered_join(pos: str, val: str) -> Column:

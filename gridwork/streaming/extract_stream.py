@@ -1,11 +1,13 @@
 """Table extraction as a Structured Streaming job.
 
 New report files arriving under ``root/<doc>/`` are parsed as they come
-(``readStream.format("binaryFile")``). Each page is handled on its own, so
-the extraction is stateless; the unit carry-over (D5) only looks at the
-tables of one file, so normalisation runs per micro-batch in
-``foreachBatch`` and the batch is appended to the slots table. The
-checkpoint location makes the sink exactly-once across restarts.
+(``readStream.format("binaryFile")``). Each file is handled on its own: the
+unit carry-over (D5) only looks at the tables of one file, so it doesn't
+matter which files arrive together. A micro-batch is written to its own
+``batch=<id>`` folder of the slots table and overwrites it when it is run
+again, so a batch that fails half-way leaves no rows twice. Where files of
+different batches have the same table id, ``extract.last_files`` over the
+table read back keeps the last file's.
 """
 
 from __future__ import annotations
@@ -22,14 +24,13 @@ def start_extraction(spark: SparkSession, root: str, out_path: str, checkpoint:
     """Start the stream; returns the ``StreamingQuery``."""
     pages = stream_corpus(spark, root, ext)
     raw = parse_pages(pages)
-    slots = extract_tables(raw)
 
     def sink(batch: DataFrame, epoch_id: int):
-        out = batch
+        out = extract_tables(batch)
         if normalize:
-            out, _ = normalize_tables(batch)
-        out.write.mode("append").partitionBy("doc_id").parquet(out_path)
+            out, _ = normalize_tables(out)
+        out.write.mode("overwrite").partitionBy("doc_id").parquet(f"{out_path}/batch={epoch_id}")
 
-    w = slots.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    w = raw.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_once else w
     return w.start()

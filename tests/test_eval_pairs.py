@@ -106,12 +106,43 @@ def test_first_k_with_a_hot_group(spark):
     hot = spark.range(0, 20000).select(F.lit("hot").alias("g"), F.md5(F.col("id").cast("string")).alias("k"))
     cold = spark.range(0, 30).select(F.concat(F.lit("c"), (F.col("id") % 3).cast("string")).alias("g"),
                                      F.md5(F.col("id").cast("string")).alias("k"))
-    df = hot.unionByName(cold).withColumn("want", F.when(F.col("g") == "hot", 7001).otherwise(4))
-    rows = first_k_per_group(df.repartition(7), "g", "k", "want").collect()
+    df = hot.unionByName(cold)
+    sizes = df.select("g", F.when(F.col("g") == "hot", 7001).otherwise(4).alias("k")).distinct()
+    rows = first_k_per_group(df.withColumnRenamed("k", "key").repartition(7), "g", "key", sizes).collect()
     kept = {}
     for r in rows:
-        kept.setdefault(r.g, []).append((r.k, r._keep))
+        kept.setdefault(r.g, []).append((r.key, r._keep))
     for g, xs in kept.items():
         want = 7001 if g == "hot" else 4
         xs.sort()
         assert [k for k, keep in xs if keep] == [k for k, _ in xs[:want]], g
+    assert len(rows) == 20030
+
+
+def test_first_k_of_all_and_none(spark):
+    from gridwork.operators.ranking import first_k_per_group
+    df = spark.createDataFrame([(g, f"{i:032x}") for g in "ab" for i in (1, 1, 2)], "g string, key string")
+    sizes = spark.createDataFrame([("a", 3), ("b", 0)], "g string, k long")
+    assert sorted((r.g, r._keep) for r in first_k_per_group(df, "g", "key", sizes).collect()) == [("a", True)] * 3 + [("b", False)] * 3
+
+
+def test_every_question_draws_its_own_negative(spark):
+    qs = spark.createDataFrame([(f"q{i}", f"text {i}", "d", "t", f"c{i % 10}") for i in range(200)]
+                               + [("lone", "only own", "d", "u", "c1")],
+                               "qid string, question string, doc_id string, table_id string, cell_id string")
+    ss = spark.createDataFrame([("d", "t", f"s{i}", f"c{i % 10}" if i % 7 else None) for i in range(60)] + [("d", "u", "s", "c1")],
+                               "doc_id string, table_id string, sentence string, cell_id string")
+    rows = one_negative_pairs(qs, ss).collect()
+    negative = {r.question: r.sentence for r in rows if r.label == 0}
+    cell = {r.sentence: r.cell_id for r in ss.collect()}
+    assert len([r for r in rows if r.label == 0]) == len(negative) == 200 and "only own" not in negative
+    assert all(cell[negative[f"text {i}"]] != f"c{i % 10}" for i in range(200))
+    assert len(set(negative.values())) > 40
+
+
+def test_other_classes_are_left_out_and_counted(spark):
+    from gridwork.operators.pairs import unknown_classes
+    rows = [("entailment", "a"), ("neutral", "b"), ("neutral", "c"), ("odd", "d"), (None, "e")]
+    nli = spark.createDataFrame(rows, "label string, s1 string")
+    assert sorted(r.label for r in halve_classes(nli).collect()) == ["entailment", "neutral"]
+    assert {(r.label, r.n) for r in unknown_classes(nli).collect()} == {("odd", 1), (None, 1)}

@@ -41,6 +41,34 @@ def test_streaming_extraction(spark):
     assert got[("tab3", 0, 1)] == "7000000"          # carried from tab2
 
 
+def test_streaming_does_not_depend_on_arrival(spark):
+    """Two files of a document, together or one after the other; a batch run twice."""
+    unit = PAGE.replace('<tr><td>x</td><td>7</td></tr>', '<tr><td>(単位:百万円)</td><td>1</td></tr>')
+    plain = '<table table-id="S100ABCD-0000000-tab9"><tr><td>8</td></tr></table>'
+
+    def run(steps):
+        root = tempfile.mkdtemp(prefix="gridwork-corpus-")
+        os.makedirs(f"{root}/S100ABCD")
+        out, ckpt = (tempfile.mkdtemp(prefix=f"gridwork-{x}-") for x in ("out", "stream-ckpt"))
+        for files in steps:
+            for name, html in files.items():
+                with open(f"{root}/S100ABCD/{name}", "w", encoding="utf-8") as f:
+                    f.write(html)
+            start_extraction(spark, root, f"{out}/slots", ckpt, trigger_once=True).awaitTermination(120)
+        return sorted((r.page_id, r.table_id, r.r, r.c, r.text) for r in spark.read.parquet(f"{out}/slots").collect())
+
+    a, b = {"a.html": unit}, {"b.html": plain}
+    got = run([a | b])
+    assert got == run([b, a]) and [x[4] for x in got if x[0] == "b.html"] == ["8"]
+
+
+def test_last_file_has_a_repeated_table(spark):
+    from gridwork.operators.extract import extract_tables, parse_pages
+    one = '<table table-id="t"><tr><td>{}</td></tr></table>'
+    pages = spark.createDataFrame([("D", f"{x}.html", one.format(x)) for x in "acb"], "doc_id string, page_id string, html string")
+    assert [r.text for r in extract_tables(parse_pages(pages)).collect()] == ["c"]
+
+
 def test_json_round_trips(spark):
     d = tempfile.mkdtemp(prefix="gridwork-json-")
     qpath = f"{d}/q.json"
@@ -57,12 +85,12 @@ def test_json_round_trips(spark):
     assert list(json.loads(gj[0].json)["D"]) == ["D-tab2", "D-tab10"]
     io.write_json_lines(io.gold_json(gold), f"{d}/gold")
     back = {(r.table_id, r.is_include, r.row_split, r.col_split)
-            for r in io.read_gold(spark, f"{d}/gold", multiline=False).collect()}
+            for r in io.read_gold(spark, f"{d}/gold").collect()}
     assert back == {("D-tab10", True, 1, 2), ("D-tab2", False, None, None), ("E-x", True, 0, 0)}
     preds = spark.createDataFrame([("D", "D-tab1", "argmax_micro", 1, 1)],
                                   "doc_id string, table_id string, variant string, row_split int, col_split int")
     io.write_json_lines(io.predictions_json(preds), f"{d}/pred")
-    pb = io.read_predictions(spark, f"{d}/pred", multiline=False).collect()
+    pb = io.read_predictions(spark, f"{d}/pred").collect()
     assert [(r.table_id, r.variant, r.row_split) for r in pb] == [("D-tab1", "argmax_micro", 1)]
 
 
