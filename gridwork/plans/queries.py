@@ -259,7 +259,7 @@ def cosine_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridwork.session import read_table
     emb = read_table(spark, sf_dir, "embeddings")
     q = emb.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("q"))
-    return cr(q, emb, "label", "q", "vec_id", "embedding").select("qid", "vec_id", "score", "rank")
+    return cr(q, emb.select("vec_id", "embedding"), "label", "q", "vec_id", "embedding").select("qid", "vec_id", "score", "rank")
 
 
 @register("translation_volume")

@@ -101,6 +101,17 @@ def test_cosine_rank(spark):
     assert r[1] == (1, 1.0) and r[3][0] == 2 and r[2] == (3, 0.0)
 
 
+def test_cosine_rank_in_blocks(spark, monkeypatch):
+    from gridwork.operators import scoring
+    docs = spark.range(30).select("id", F.array(F.col("id") * 1.0, F.lit(7.0)).alias("v"))
+    q = spark.range(25).select(F.col("id").alias("qid"), F.array(F.lit(3.0), F.col("id") * 1.0 + 1).alias("v"))
+    whole = sorted(cosine_rank(q, docs, "qid", "v", "id", "v").select("qid", "id", "score", "rank").collect())
+    monkeypatch.setattr(scoring, "QUERY_BLOCK", 4)
+    assert sorted(cosine_rank(q, docs, "qid", "v", "id", "v").select("qid", "id", "score", "rank").collect()) == whole
+    top = cosine_rank(q, docs, "qid", "v", "id", "v", top_k=3).select("qid", "id", "score", "rank").collect()
+    assert sorted(top) == [r for r in whole if r["rank"] <= 3] and len(whole) == 750
+
+
 def test_first_k_with_a_hot_group(spark):
     from gridwork.operators.ranking import first_k_per_group
     hot = spark.range(0, 20000).select(F.lit("hot").alias("g"), F.md5(F.col("id").cast("string")).alias("k"))
