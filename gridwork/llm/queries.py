@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gridwork.session import read_table
 
 from . import decontam, html_extract, langid, license_scan, order_minhash, packing, sharding, topk, url_reputation, warc_fixity
+from .common import stage
 
 #: Parameters of the queries.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -33,9 +34,13 @@ def _md5_number(c: Column) -> Column:
 def op2_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages as archive records against a second replica with damage by rule."""
     records = warc_fixity.warc_records(read_table(spark, sf_dir, "pages"))
-    drawn = _md5_number(F.coalesce(F.col("record_id"), F.lit(-1)))
-    replica = warc_fixity.damaged(records, drawn % CORRUPT_EVERY == 0, drawn % LOST_EVERY == 1)
-    return warc_fixity.audit(records, replica).select("file", "offset", "record_id", "length", "kind")
+    drawn, data = _md5_number(F.coalesce(F.col("record_id"), F.lit(-1))), F.col("bytes")
+    other = F.when(drawn % CORRUPT_EVERY == 0, warc_fixity.overwritten(data)).otherwise(data)
+    both = stage(warc_fixity.with_offsets(records.select(
+        "file", "record_id", F.length(data).cast("long").alias("length"), warc_fixity.digest_of(data).alias("digest"),
+        warc_fixity.digest_of(other).alias("other"), (drawn % LOST_EVERY == 1).alias("lost"))))
+    replica = both.filter("not lost").drop("digest").withColumnRenamed("other", "digest")
+    return warc_fixity.audit(both, replica).select("file", "offset", "record_id", "length", "kind")
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

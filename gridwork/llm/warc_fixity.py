@@ -18,7 +18,7 @@ Defined results: a record whose bytes are null hashes as empty. A record that
 one replica lacks is reported as missing or extra. Records that repeat a place
 in a file are told apart by their hashes; equal ones count once. Replicas with the same records have
 the same roots, whatever the order of their rows. Empty replicas give an empty
-result. Columns beside file, offset, record_id and the bytes are ignored.
+result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,30 +37,42 @@ FILE_PAGES = 512
 
 
 def warc_records(pages: DataFrame) -> DataFrame:
-    """file, offset, record_id, bytes: pages(page_id, url, html) as WARC response records,
-    FILE_PAGES ids a file, in the order of their ids. Null ids go to a file of their own (-1)."""
+    """file, record_id, bytes: pages(page_id, url, html) as WARC response records,
+    FILE_PAGES ids a file. Null ids go to a file of their own (-1)."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     head = F.concat(F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"),
                     F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">\r\nWARC-Target-URI: "),
                     F.coalesce(F.regexp_replace("url", r"[\r\n]", ""), F.lit("")), F.lit("\r\nContent-Length: "),
                     F.length(payload).cast("string"), F.lit("\r\n\r\n")).cast("binary")
     record = F.concat(head, payload, F.lit("\r\n\r\n").cast("binary"))
-    rows = only(pages, "page_id", "url", "html").select(
+    return only(pages, "page_id", "url", "html").select(
         F.coalesce(F.floor(F.col("page_id") / FILE_PAGES), F.lit(-1)).alias("file"),
         F.col("page_id").alias("record_id"), record.alias("bytes"))
-    # places from the lengths alone: the bytes don't go through the sort
-    place = Window.partitionBy("file").orderBy("record_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    return (rows.withColumn("digest", F.sha2("bytes", 256)).withColumn("length", F.length("bytes").cast("long"))
-            .withColumn("offset", F.coalesce(F.sum("length").over(place), F.lit(0))).drop("digest", "length"))
 
 
-def leaves(records: DataFrame) -> DataFrame:
-    """file, offset, record_id, length, leaf: the hash of each record with its place."""
-    data = F.coalesce(F.col("bytes"), F.lit("").cast("binary"))
-    place = F.concat_ws(" ", F.col("offset").cast("string"), F.length(data).cast("string"))
+def digest_of(data: Column) -> Column:
+    return F.sha2(F.coalesce(data, F.lit("").cast("binary")), 256)
+
+
+def with_offsets(digests: DataFrame) -> DataFrame:
+    """Records(file, record_id, length, digest, …) with their ``offset``: one after the other by id.
+    Lengths and digests go through the sort, the bytes don't."""
+    before = Window.partitionBy("file").orderBy("record_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
+    return digests.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
+
+
+def digests(records: DataFrame) -> DataFrame:
+    """A replica (file, offset, record_id, length, digest) from its records(file, offset, record_id, bytes)."""
+    length = F.coalesce(F.length("bytes"), F.lit(0)).cast("long")
     return only(records, "file", "offset", "record_id", "bytes").select(
-        "file", "offset", "record_id", F.length(data).cast("long").alias("length"),
-        F.sha2(F.concat_ws(" ", place, F.sha2(data, 256)), 256).alias("leaf")).dropDuplicates(["file", "offset", "leaf"])
+        "file", "offset", "record_id", length.alias("length"), digest_of(F.col("bytes")).alias("digest"))
+
+
+def leaves(replica: DataFrame) -> DataFrame:
+    """file, offset, record_id, length, leaf: the hash of each record's place and bytes."""
+    place = F.concat_ws(" ", F.col("offset").cast("string"), F.col("length").cast("string"), "digest")
+    return only(replica, "file", "offset", "record_id", "length", "digest").select(
+        "file", "offset", "record_id", "length", F.sha2(place, 256).alias("leaf")).dropDuplicates(["file", "offset", "leaf"])
 
 
 def _ordered_hash(at: Column, value: Column) -> Column:
@@ -89,7 +101,7 @@ def _differing(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def audit(a: DataFrame, b: DataFrame) -> DataFrame:
-    """file, offset, record_id, length, kind of each record in which replica b differs from a:
+    """Replicas (file, offset, record_id, length, digest; see :func:`digests`) against each other: file, offset, record_id, length, kind of each record in which replica b differs from a:
     corrupt, missing (only in a) or extra (only in b), each with both leaves."""
     a, b = stage(leaves(a)), stage(leaves(b))
     up_a, up_b = tree(a), tree(b)
@@ -120,9 +132,8 @@ def audit(a: DataFrame, b: DataFrame) -> DataFrame:
                     F.coalesce("length", "length_b").alias("length"), kind.alias("kind"), "leaf_a", "leaf_b"))
 
 
-def damaged(records: DataFrame, corrupt: Column, lost: Column) -> DataFrame:
-    """A copy of a replica whose ``corrupt`` records have their middle byte overwritten and whose ``lost`` are gone."""
-    half = "cast(floor(length(bytes) / 2) as int)"
-    middle = F.concat(F.expr(f"substring(bytes, 1, {half})"), F.lit("\u0001").cast("binary"),
-                      F.expr(f"substring(bytes, {half} + 2)"))
-    return records.filter(~lost).withColumn("bytes", F.when(corrupt & (F.length("bytes") > 1), middle).otherwise(F.col("bytes")))
+def overwritten(data: Column) -> Column:
+    """The bytes with the one in the middle overwritten."""
+    half = F.floor(F.length(data) / 2).cast("int")
+    return F.concat(F.substring(data, F.lit(1), half), F.lit("\u0001").cast("binary"),
+                    F.substring(data, half + 2, F.length(data)))
