@@ -15,10 +15,11 @@ def test_entry_runs(spark):
 def test_every_query_has_oracle_or_is_rows_only():
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q)
-    assert set(q) - set(o) == {"nfkc_documents", "page_text_blocks"}
+    own = {k for k in q if k != "pipeline" and not k.startswith("op")}
+    assert own - set(o) == {"nfkc_documents", "page_text_blocks"}
 
 
-@pytest.mark.parametrize("name", ["report_sentences", "table_status", "extract_tables", "context_above",
+@pytest.mark.parametrize("name", ["report_sentences", "carry_per_file", "rules_file", "json_round_trip", "tsv_round_trip", "table_status", "extract_tables", "context_above",
                                   "qa_pairs", "split_accuracy", "text_normalize"])
 def test_matches_duckdb_small(spark, name):
     con = duckdb.connect()
