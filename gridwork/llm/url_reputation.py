@@ -72,8 +72,8 @@ def deciding_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> C
     return F.when(first.isNotNull(), F.struct(first["rule"].alias("rule"), first["verdict"].alias("verdict")))
 
 
-def _strength(children: DataFrame) -> Column:
-    """A scalar: the strength of the beta prior of these children (n, good, mean).
+def _strength(children: DataFrame) -> float:
+    """The strength of the beta prior of these children (n, good, mean): one number.
 
     Moments: the children's spread about their parents' means, less what
     binomial outcomes spread by themselves, is the variance of the prior.
@@ -85,13 +85,13 @@ def _strength(children: DataFrame) -> Column:
     unit = F.col("unit") / F.col("all")
     var = F.try_divide(F.col("spread") - F.col("alone"), F.col("all") - F.col("squares") / F.col("all"))  # a single child: null
     fitted = F.when(var > 0, unit / F.when(var > 0, var) - 1)
-    return s.select(F.least(F.lit(STRONGEST), F.greatest(F.lit(WEAKEST), F.coalesce(fitted, F.lit(STRONGEST))))).scalar()
+    return s.select(F.least(F.lit(STRONGEST), F.greatest(F.lit(WEAKEST), F.coalesce(fitted, F.lit(STRONGEST))))).first()[0]
 
 
 def _shrunk(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     """Children (…, key, n, good) with the posterior (a, b, mean) under the prior of their parent."""
     under = children.join(parents.select(key, F.col("post").alias("mean")), key)
-    under = under.withColumn("strength", _strength(under))
+    under = under.withColumn("strength", F.lit(_strength(under)))
     a = F.col("mean") * F.col("strength") + F.col("good")
     b = (1 - F.col("mean")) * F.col("strength") + F.col("n") - F.col("good")
     return under.withColumn("a", a).withColumn("b", b).withColumn("post", F.col("a") / (F.col("a") + F.col("b")))
