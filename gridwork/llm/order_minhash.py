@@ -13,8 +13,9 @@ are one node from the start. A class is a connected component of links.
 A pair at similarity 0.8 shares no key with probability (1 - 0.8**6)**40, about
 5e-6. Of the texts of one key not all pairs are formed:
 
-1. each text is aligned with the smallest of those it shares keys with;
-2. then with the smallest text of every key, unless they are in one class by now;
+1. each text is aligned with the first of those it shares keys with: the text with the most
+   exact copies, then the smallest;
+2. then with the first text of every key, unless they are in one class by now;
 3. the texts of keys that still hold several classes are joined exactly: two
    texts that reach the similarity share one of their rarest shingles (prefix
    and position filter), so only texts of different classes with a rare shingle
@@ -92,17 +93,22 @@ def sketches(words: np.ndarray) -> np.ndarray:
     return mixed(keys)
 
 
+#: Texts whose sketches a task holds at a time.
+PIECE = 500
+
+
 def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     hashes = word_hashes()
     for pdf in batches:
-        rows = []
-        for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-            words = words_of(text)
-            own = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-            whole = xxhash.xxh3_128_digest(" ".join(words))
-            rows.append((doc, *np.frombuffer(whole, np.int64).tolist(), len(words),
-                         sketches(own).view(np.int64), own.astype(np.uint32).tobytes()))
-        yield pd.DataFrame(rows, columns=["doc_id", "h1", "h2", "n", "keys", "words"])
+        for at in range(0, len(pdf), PIECE):
+            rows = []
+            for doc, text in pdf[["doc_id", "text"]].iloc[at:at + PIECE].itertuples(index=False):
+                words = words_of(text)
+                own = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+                whole = xxhash.xxh3_128_digest(" ".join(words))
+                rows.append((doc, *np.frombuffer(whole, np.int64).tolist(), len(words),
+                             sketches(own).view(np.int64), own.astype(np.uint32).tobytes()))
+            yield pd.DataFrame(rows, columns=["doc_id", "h1", "h2", "n", "keys", "words"])
 
 
 def indel_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -171,8 +177,7 @@ def _with_words(nodes: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def align(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The links among ``pairs``(a, b)."""
-    pairs = stage(pairs)
+    """The links among ``pairs``(a, b), a written table."""
     some = stage(_with_words(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), texts))
     a = some.select(F.col("doc_id").alias("a"), F.col("words").alias("words_a"))
     b = some.select(F.col("doc_id").alias("b"), F.col("words").alias("words_b"))
@@ -187,12 +192,20 @@ def _classes(links: DataFrame, members: DataFrame) -> DataFrame:
     return members.join(found, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
 
 
+def _more(links: DataFrame, classes: DataFrame, pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """links and classes(node, class) with the links among further pairs."""
+    pairs = stage(pairs)
+    if pairs.isEmpty():
+        return links, classes
+    links = stage(links.union(align(pairs, texts)))
+    return links, stage(_classes(links, classes.select("node")))
+
+
 def _all_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        own = [labelled(shingle_hashes(np.frombuffer(w, np.uint32).astype(np.uint64))).view(np.int64) for w in pdf["words"]]
-        yield pd.DataFrame({"node": np.repeat(pdf["doc_id"].to_numpy(), [len(x) for x in own]),
-                            "n": np.repeat([len(x) for x in own], [len(x) for x in own]),
-                            "shingle": np.concatenate(own)})
+        for node, words in zip(pdf["doc_id"], pdf["words"], strict=True):
+            own = labelled(shingle_hashes(np.frombuffer(words, np.uint32).astype(np.uint64))).view(np.int64)
+            yield pd.DataFrame({"node": node, "n": len(own), "shingle": own})
 
 
 def _prefix(n: Column, least: Column) -> Column:
@@ -210,15 +223,26 @@ def rare_partners(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     ranked = (rows.join(counts, "shingle").withColumn("at", F.row_number().over(by_rarity) - 1)
               .filter((F.col("df") > 1) & (F.col("at") < _prefix(n, t * n))).drop("df"))
     ranked = stage(ranked.join(nodes, "node"))
-    groups = ranked.select("shingle", "class").distinct()
-    a_class, b_class = F.col("class").alias("class_a"), F.col("class").alias("class_b")
-    mixed_ = (groups.select("shingle", a_class).join(groups.select("shingle", b_class), "shingle")
-              .filter("class_a < class_b"))
-    side = lambda s: ranked.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "node", "n", "at")])
-    least = F.ceil(t / (1 + t) * (F.col("n_a") + F.col("n_b")) - 1e-9)
-    fits = 1 + F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n_b") - F.col("at_b") - 1) >= least
-    return (mixed_.join(side("a"), ["shingle", "class_a"])
-            .join(side("b"), ["shingle", "class_b"]).filter(fits & (F.col("node_a") != F.col("node_b")))
+
+    def fits(n: Column, at: Column, m: Column, other: Column) -> Column:
+        """Whether texts of n and m shingles, the first they share at these ranks, can still match enough."""
+        return 1 + F.least(n - at - 1, m - other - 1) >= F.ceil(t / (1 + t) * (n + m) - 1e-9)
+
+    # first by the sizes there are: a shingle too far back for every size that has it makes no pair
+    sizes = ranked.groupBy("shingle", F.col("n").alias("m")).agg(F.min("at").alias("first"))
+    ranked = stage(ranked.join(sizes, (ranked["shingle"] == sizes["shingle"]) & fits(n, F.col("at"), F.col("m"), F.col("first")),
+                               "left_semi"))
+    # then by classes, so that the texts of one class never meet each other; the smaller side comes first
+    groups = ranked.groupBy("shingle", "class", "n").agg(F.min("at").alias("first"), F.count("*").alias("texts"))
+    side = lambda df, s: df.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in df.columns if c != "shingle"])
+    met = (side(groups, "a").join(side(groups, "b"), "shingle")
+           .filter((F.col("class_a") != F.col("class_b")) & fits(F.col("n_a"), F.col("first_a"), F.col("n_b"), F.col("first_b")))
+           .filter("texts_a < texts_b or (texts_a = texts_b and class_a < class_b)")
+           .select("shingle", "class_a", "n_a", "class_b", "n_b", "first_b"))
+    some = (met.join(side(ranked, "a"), ["shingle", "class_a", "n_a"])
+            .filter(fits(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("first_b"))))
+    return (some.join(side(ranked, "b"), ["shingle", "class_b", "n_b"])
+            .filter(fits(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b")))
             .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
 
 
@@ -227,31 +251,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = stage(only(docs, "doc_id", "text").mapInPandas(
         _sketched, "doc_id long, h1 long, h2 long, n long, keys array<long>, words binary"))
     worded = texts.filter("n > 0 and doc_id is not null")
-    same = stage(worded.groupBy("h1", "h2").agg(F.min("doc_id").alias("node")))
+    same = stage(worded.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")))
     keyed = (worded.select("h1", "h2", "doc_id", "keys")
-             .join(same.withColumnRenamed("node", "doc_id"), ["h1", "h2", "doc_id"], "left_semi")
-             .select(F.col("doc_id").alias("node"), F.explode("keys").alias("key")))
-    centers = (keyed.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("_other"))
-               .filter("center < _other").drop("_other"))
-    shared = stage(keyed.join(centers, "key"))
+             .join(same.withColumnRenamed("node", "doc_id"), ["h1", "h2", "doc_id"])
+             .select(F.col("doc_id").alias("node"), "copies", F.explode("keys").alias("key")))
+    several = (keyed.groupBy("key").agg(F.min("node").alias("_low"), F.max("node").alias("_high"))
+               .filter("_low < _high").select("key"))
+    shared = stage(keyed.join(several, "key", "left_semi"))
+    # what many texts were copied from is likely there as it was, most often: it goes first
+    centers = (shared.groupBy("key").agg(F.min(F.struct((-F.col("copies")).alias("rank"), F.col("node").alias("center"))).alias("c")))
+    shared = stage(shared.drop("copies").join(centers, "key").select("key", "node", "c.center", "c.rank"))
     members = stage(shared.select("node").distinct())
 
-    first = shared.filter("node <> center").groupBy("node").agg(F.min("center").alias("center"))
-    links = align(first.select(F.col("center").alias("a"), F.col("node").alias("b")), texts)
+    first = (shared.filter("node <> center").groupBy("node").agg(F.min(F.struct("rank", "center")).alias("c"))
+             .select("node", "c.center"))
+    links = align(stage(first.select(F.col("center").alias("a"), F.col("node").alias("b"))), texts)
     classes = stage(_classes(links, members))
 
     of_center = classes.select(F.col("node").alias("center"), F.col("class").alias("center_class"))
     rest = (shared.filter("node <> center").select("node", "center").distinct()
             .join(first.withColumn("_done", F.lit(1)), ["node", "center"], "left_anti")
             .join(classes, "node").join(of_center, "center").filter("class <> center_class"))
-    links = stage(links.union(align(rest.select(F.col("center").alias("a"), F.col("node").alias("b")), texts)))
-    classes = stage(_classes(links, members))
+    links, classes = _more(links, classes, rest.select(F.col("center").alias("a"), F.col("node").alias("b")), texts)
 
     open_keys = (shared.join(classes, "node").groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"))
                  .filter("low < high").select("key"))
     open_nodes = stage(shared.join(open_keys, "key", "left_semi").select("node").distinct().join(classes, "node"))
-    links = stage(links.union(align(rare_partners(open_nodes, texts), texts)))
-    classes = stage(_classes(links, members))
+    _, classes = _more(links, classes, rare_partners(open_nodes, texts), texts)
 
     named = same.join(classes, "node", "left").select("h1", "h2", F.coalesce("class", "node").alias("class_id"))
     out = texts.select("doc_id", "h1", "h2", F.col("n").alias("n_words")).join(named, ["h1", "h2"], "left")
