@@ -21,7 +21,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 
 #: Words that a worker remembers the hashes of; beyond it starts anew.
-MEMORY = 400_000
+MEMORY = 100_000
 
 
 def only(df: DataFrame, *columns: str) -> DataFrame:
