@@ -13,6 +13,15 @@ MAX_LANGUAGES before it goes to the tasks. Predicting is one pass over the
 whole texts without a shuffle. Texts are taken in portions of PORTION
 characters, so memory does not depend on the batch.
 
+Whether a text is in a learnt language at all is another question, since the
+best of several centred cosines is never low. It is asked of the largest
+cosine with a prototype that nothing was taken from (``Fits``): the text is in
+none of them if that stays NOISE and more below SHARE of the lower quartile of
+what that language's training texts reach with the prototype of the others.
+Texts are compared with those of the same number of different n-grams (as a
+power of two, repeats counting less): short and repetitive texts have low
+cosines in any language, and very short ones can't be told from noise and stay.
+
 Defined results: a null text, or one without a letter, is ``und`` with score
 0; so is every text if nothing was learnt. Equal cosines: the smaller language
 name. Repeated rows get equal predictions. Rows with null language, or null
@@ -24,9 +33,11 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +52,10 @@ MAX_LANGUAGES = 1000
 #: Characters of texts that are counted at a time.
 PORTION = 500_000
 UNKNOWN = "und"
+#: A text is in no learnt language if its cosine is NOISE and more below SHARE of this quantile of the training texts'.
+QUANTILE, SHARE = 0.25, 0.5
+#: Two standard deviations of the cosine of unrelated vectors.
+NOISE = 2 / DIMENSIONS ** 0.5
 
 
 @functools.cache
@@ -87,12 +102,15 @@ def gram_vectors(grams: np.ndarray) -> np.ndarray:
 
 def text_vectors(texts: list[str | None]) -> np.ndarray:
     """One row for each text: the sum of its n-grams' vectors (exact: whole numbers below 2**24)."""
-    counted = [gram_counts(t) for t in texts]
+    return _summed([gram_counts(t) for t in texts])
+
+
+def _summed(counted: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     if not (every := [g for g, _ in counted]):
         return np.zeros((0, DIMENSIONS), np.float32)
     grams, at = np.unique(np.concatenate(every), return_inverse=True)
-    table = np.zeros((len(texts), len(grams)), np.float32)
-    row = np.repeat(np.arange(len(texts)), [len(g) for g in every])
+    table = np.zeros((len(counted), len(grams)), np.float32)
+    row = np.repeat(np.arange(len(counted)), [len(g) for g in every])
     table[row, at] = np.concatenate([c for _, c in counted])
     return table @ gram_vectors(grams).astype(np.float32)
 
@@ -109,7 +127,7 @@ def portions(lengths: Iterator[int], most: int = PORTION) -> Iterator[slice]:
         yield slice(start, end)
 
 
-def _lengths(texts: pd.Series) -> Iterator[int]:
+def _lengths(texts: pd.Series | list[str | None]) -> Iterator[int]:
     return (len(t) if t else 0 for t in texts)
 
 
@@ -126,9 +144,8 @@ def _bundled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"lang": list(sums), "sums": [v.tolist() for v in sums.values()]})
 
 
-def learn(docs: DataFrame) -> dict[str, np.ndarray]:
-    """The prototype of each language from docs(text, lang): a unit vector each, and
-    under the empty name the mean that all vectors are taken from."""
+def language_sums(docs: DataFrame) -> dict[str, np.ndarray]:
+    """The sum of the text vectors of each language of docs(text, lang) that has any, by name."""
     docs = only(docs, "text", "lang").filter("text is not null and lang is not null")
     parts = docs.mapInPandas(_bundled, "lang string, sums array<bigint>")
     rows = (parts.select("lang", F.posexplode("sums").alias("d", "s")).groupBy("lang", "d").agg(F.sum("s").alias("s"))
@@ -137,7 +154,13 @@ def learn(docs: DataFrame) -> dict[str, np.ndarray]:
     if len(rows) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages: is lang a language?")
     found = {r["lang"]: np.array(r["sums"], float) for r in rows}
-    found = {k: v / np.linalg.norm(v) for k, v in found.items() if v.any()}
+    return {k: v for k, v in found.items() if v.any()}
+
+
+def learn(docs: DataFrame) -> dict[str, np.ndarray]:
+    """The prototype of each language from docs(text, lang): a unit vector each, and
+    under the empty name the mean that all vectors are taken from."""
+    found = {k: v / np.linalg.norm(v) for k, v in language_sums(docs).items()}
     mean = np.mean(list(found.values()), axis=0) if len(found) > 1 else np.zeros(DIMENSIONS)
     return {"": mean} | {k: (v - mean) / np.linalg.norm(v - mean) for k, v in found.items()}
 
@@ -185,11 +208,89 @@ def identify(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def size_class(counts: np.ndarray) -> int:
+    """The power of two of a text's number of n-grams, as many as would be if all were as frequent; -1 if it has none."""
+    return int(np.log2(counts.sum() ** 2 / (counts ** 2).sum())) if len(counts) else -1
+
+
+def _sized(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    counted = [gram_counts(t) for t in texts]
+    return np.array([size_class(c) for _, c in counted], int), _summed(counted).astype(float)
+
+
+def own_cosines(vectors: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """The cosine of each training text with the sum of its language's others; 0 if there are none."""
+    others = sums - vectors
+    size = np.linalg.norm(vectors, axis=1) * np.linalg.norm(others, axis=1)
+    return np.clip((vectors * others).sum(axis=1) / np.maximum(size, 1e-12), 0, 1)
+
+
+@dataclass
+class Fits:
+    """What a text must reach to be in one of the languages."""
+    prototypes: np.ndarray  # one row per language
+    least: np.ndarray       # the least cosine by language and size class
+
+    def known(self, texts: list[str | None]) -> np.ndarray:
+        """Whether each text is in one of the languages."""
+        sizes, vectors = _sized(texts)
+        if not len(self.prototypes) or not len(texts):
+            return np.zeros(len(texts), bool)
+        cosines = vectors @ self.prototypes.T / np.maximum(np.linalg.norm(vectors, axis=1), 1)[:, None]
+        best = cosines.argmax(axis=1)
+        reached = cosines[np.arange(len(texts)), best]
+        return (sizes >= 0) & (reached >= self.least[best, np.clip(sizes, 0, self.least.shape[1] - 1)])
+
+
+def _least(quantiles: dict[int, float], classes: int) -> np.ndarray:
+    """The least cosine of each size class. Larger texts reach more: no class asks for more than a
+    larger one, and one without training texts takes the next smaller's (or what its size makes of the next larger's)."""
+    own = {c: min(q for d, q in quantiles.items() if d >= c) for c in quantiles}
+    first = min(own)
+    wanted = [own[max(d for d in own if d <= c)] if c >= first else own[first] * 2 ** ((c - first) / 2) for c in range(classes)]
+    # below 0 any text does: too few n-grams to tell
+    return np.where(np.array(wanted) * SHARE > NOISE, np.array(wanted) * SHARE - NOISE, -1.0)
+
+
+def learn_fits(docs: DataFrame) -> Fits:
+    """Prototypes and least cosines from docs(text, lang)."""
+    sums = language_sums(docs)
+    if not sums:
+        return Fits(np.zeros((0, DIMENSIONS)), np.zeros((0, 1)))
+    sent = docs.sparkSession.sparkContext.broadcast(sums)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for part in portions(_lengths(pdf["text"])):
+                one = pdf[part]
+                sizes, vectors = _sized(list(one["text"]))
+                some = sizes >= 0
+                langs = one["lang"].to_numpy()[some]
+                if len(langs):
+                    reached = own_cosines(vectors[some], np.stack([sent.value[k] for k in langs]))
+                    yield pd.DataFrame({"lang": langs, "size": sizes[some], "reached": np.round(reached * 1000).astype(int)})
+
+    given = only(docs, "text", "lang").filter("text is not null and lang is not null")
+    # thousandths are counted first: at most 1001 rows of a language and size
+    counts = given.mapInPandas(run, "lang string, size int, reached int").groupBy("lang", "size", "reached").count()
+    rows = counts.groupBy("lang", "size").agg((F.percentile("reached", QUANTILE, F.col("count")) / 1000).alias("q")).collect()
+    found: dict[str, dict[int, float]] = {}
+    for r in rows:
+        found.setdefault(r["lang"], {})[r["size"]] = r["q"]
+    names, classes = sorted(sums), 1 + max(r["size"] for r in rows)
+    return Fits(np.stack([sums[k] / np.linalg.norm(sums[k]) for k in names]),
+                np.stack([_least(found[k], classes) for k in names]))
+
+
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without those that are in no learnt language: no letter, or a cosine of 0 or less with every prototype.
+    """``docs`` without the rows whose text is in no learnt language: without a letter, or too far from every
+    prototype (see above). Each row is judged by itself."""
+    fits = docs.sparkSession.sparkContext.broadcast(learn_fits(docs.filter(~held_out(docs["doc_id"]))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            known = [fits.value.known(texts[part]) for part in portions(_lengths(texts))]
+            yield batch.filter(pa.array(np.concatenate([np.zeros(0, bool), *known])))
 
-    Documents that share an id stay if one of them is identified."""
-    known = predict(docs, learn(docs.filter(~held_out(docs["doc_id"]))), ("doc_id",))
-    rejected = (known.groupBy("doc_id").agg(F.max("score").alias("_best")).filter("_best = 0")
-                .select(F.col("doc_id").alias("_rejected")))
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["_rejected"]), "left_anti")
+    return docs.mapInArrow(run, docs.schema)

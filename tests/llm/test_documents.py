@@ -58,6 +58,27 @@ def test_language_edges(spark, edges):
     assert kept.columns == edges.columns and {2, 3, 4, 5}.isdisjoint({r["doc_id"] for r in kept.collect()})
 
 
+def test_texts_in_no_learnt_language_go(spark):
+    docs = spark.read.parquet(f"{parity.SMALL}/documents.parquet")
+    rng = np.random.default_rng(2)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    finnish = ("Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja "
+               "omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.")
+    russian = "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью."
+    random = " ".join("".join(rng.choice(letters, rng.integers(2, 10))) for _ in range(80))
+    base64 = "".join(rng.choice(letters + [x.upper() for x in letters] + list("0123456789+/"), 600))
+    strange = {10 ** 9 + i: t for i, t in enumerate([finnish, russian, random, base64])}
+    added = spark.createDataFrame([(i, t) for i, t in strange.items()], "doc_id long, text string")
+    kept = [r["doc_id"] for r in langid.keep_identified(docs.unionByName(added, allowMissingColumns=True)).collect()]
+    assert sorted(kept) == sorted(r["doc_id"] for r in docs.collect())
+    # a language that is not learnt, and the same one learnt
+    unlearnt = docs.withColumn("lang", F.when(F.col("lang") != "de", F.col("lang")))
+    german = {r["doc_id"] for r in docs.filter("lang = 'de'").collect()}
+    stay = {r["doc_id"] for r in langid.keep_identified(unlearnt).collect()}
+    assert german and len(german & stay) < 0.1 * len(german)
+    assert {r["doc_id"] for r in docs.collect()} - german <= stay
+
+
 def _pieces(text, tokenizer):
     ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
     for at in range(0, len(ids), packing.SEQUENCE):
