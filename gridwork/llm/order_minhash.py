@@ -10,13 +10,18 @@ shingle sequences matches as many in order as make matched / (all less
 matched) reach SIMILARITY: five-word shingles, 0.8. Texts with the same words
 are one node from the start. A class is a connected component of links.
 
-A pair at similarity 0.8 shares no key with probability (1 - 0.8**6)**40, about
-5e-6. Of the texts of one key not all pairs are formed:
+A pair of long texts at similarity 0.8 shares no key with probability
+(1 - 0.8**6)**40, about 5e-6. The fewer shingles, the likelier that is, as the
+smallest are drawn without replacement (at 60 shingles 1.2e-5, at 10 of them
+3e-3), and texts of fewer than KEPT have keys of their own length. So texts of
+up to SHORT shingles don't depend on keys: step 3 finds all their pairs. Of
+the texts of one key not all pairs are formed:
 
 1. each text is aligned with the first of those it shares keys with: the text with the most
    exact copies, then the smallest;
 2. then with the first text of every key, unless they are in one class by now;
-3. the texts of keys that still hold several classes are joined exactly: two
+3. the texts of keys that still hold several classes, and all short texts with
+   those long enough to be like one, are joined exactly: two
    texts that reach the similarity share one of their rarest shingles (prefix
    and position filter), so only texts of different classes with a rare shingle
    in common are aligned. No partner or candidate is capped.
@@ -48,6 +53,8 @@ from .common import CHAIN, SHINGLE, SIMILARITY, mixed, only, shingle_hashes, sta
 from .components import components
 
 KEPT, BANDS = 6, 40
+#: Texts of up to so many shingles are also compared without keys, with all that could reach SIMILARITY.
+SHORT = 60
 #: Node numbers up to so many are broadcast (8 bytes each); more are joined.
 BROADCAST_NODES = 1_000_000
 #: Elements of a diagonal that an alignment compares at a time.
@@ -201,11 +208,27 @@ def _more(links: DataFrame, classes: DataFrame, pairs: DataFrame, texts: DataFra
     return links, stage(_classes(links, classes.select("node")))
 
 
+#: Shingles that a task gathers before it passes them on, beyond those of one text.
+GATHERED = 50_000
+
+
 def _all_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows() -> pd.DataFrame:
+        sizes = [len(x) for x in found]
+        return pd.DataFrame({"node": np.repeat(np.array(nodes, np.int64), sizes), "n": np.repeat(np.array(sizes, np.int32), sizes),
+                             "shingle": np.concatenate(found)})
+
     for pdf in batches:
+        nodes, found, held = [], [], 0
         for node, words in zip(pdf["doc_id"], pdf["words"], strict=True):
-            own = labelled(shingle_hashes(np.frombuffer(words, np.uint32).astype(np.uint64))).view(np.int64)
-            yield pd.DataFrame({"node": node, "n": len(own), "shingle": own})
+            nodes.append(node)
+            found.append(labelled(shingle_hashes(np.frombuffer(words, np.uint32).astype(np.uint64))).view(np.int64))
+            held += len(found[-1])
+            if held >= GATHERED:
+                yield rows()
+                nodes, found, held = [], [], 0
+        if found:
+            yield rows()
 
 
 def _prefix(n: Column, least: Column) -> Column:
@@ -251,9 +274,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = stage(only(docs, "doc_id", "text").mapInPandas(
         _sketched, "doc_id long, h1 long, h2 long, n long, keys array<long>, words binary"))
     worded = texts.filter("n > 0 and doc_id is not null")
-    same = stage(worded.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")))
+    same = stage(worded.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"),
+                                                F.max("n").alias("n")))
     keyed = (worded.select("h1", "h2", "doc_id", "keys")
-             .join(same.withColumnRenamed("node", "doc_id"), ["h1", "h2", "doc_id"])
+             .join(same.drop("n").withColumnRenamed("node", "doc_id"), ["h1", "h2", "doc_id"])
              .select(F.col("doc_id").alias("node"), "copies", F.explode("keys").alias("key")))
     several = (keyed.groupBy("key").agg(F.min("node").alias("_low"), F.max("node").alias("_high"))
                .filter("_low < _high").select("key"))
@@ -261,7 +285,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # what many texts were copied from is likely there as it was, most often: it goes first
     centers = (shared.groupBy("key").agg(F.min(F.struct((-F.col("copies")).alias("rank"), F.col("node").alias("center"))).alias("c")))
     shared = stage(shared.drop("copies").join(centers, "key").select("key", "node", "c.center", "c.rank"))
-    members = stage(shared.select("node").distinct())
+    # whatever can reach SIMILARITY with a short text has at most SHORT / SIMILARITY shingles
+    short = same.filter(F.col("n") - (SHINGLE - 1) <= SHORT / SIMILARITY).select("node")
+    members = stage(shared.select("node").union(short).distinct())
 
     first = (shared.filter("node <> center").groupBy("node").agg(F.min(F.struct("rank", "center")).alias("c"))
              .select("node", "c.center"))
@@ -276,7 +302,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     open_keys = (shared.join(classes, "node").groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"))
                  .filter("low < high").select("key"))
-    open_nodes = stage(shared.join(open_keys, "key", "left_semi").select("node").distinct().join(classes, "node"))
+    open_nodes = stage(shared.join(open_keys, "key", "left_semi").select("node").union(short).distinct().join(classes, "node"))
     _, classes = _more(links, classes, rare_partners(open_nodes, texts), texts)
 
     named = same.join(classes, "node", "left").select("h1", "h2", F.coalesce("class", "node").alias("class_id"))

@@ -108,6 +108,28 @@ def test_classes_against_all_pairs(spark, copies):
     assert got == _classes(copies)
 
 
+def test_short_texts_miss_no_partner(spark):
+    rng = np.random.default_rng(4)
+    texts = {}
+
+    def add(words, partner):
+        for w in (words, partner):
+            texts[len(texts)] = " ".join(w)
+
+    word = lambda: f"x{rng.integers(0, 10 ** 9)}"
+    for more, fewer in ((5, 4), (6, 5), (7, 6)):  # shingles, at either end: 4/5, 5/6 and 6/7 matched
+        for at in range(8):
+            words = [word() for _ in range(more + 4)]
+            add(words, words[1:] if at % 2 else words[:-1])
+            assert _matched_share(words, words[1:]) == fewer / more
+    for _ in range(300):  # 8/10: the keys of 1 in 300 or so say nothing
+        words = [word() for _ in range(14)]
+        add(words, words[2:])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(docs).collect()}
+    assert got == {d: d - d % 2 for d in texts} == _classes(texts)
+
+
 def test_rare_partners_are_all_there(spark, copies):
     some = {d: t for d, t in copies.items() if d < 60}
     docs = spark.createDataFrame(list(some.items()), "doc_id long, text string")
