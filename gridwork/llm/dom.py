@@ -14,8 +14,18 @@ _TOKEN = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no markup, or never text of the page.
-RAW = frozenset("script style textarea title template noscript iframe svg math object canvas select button".split())
+#: Elements whose content is no markup: all up to their end tag.
+RAW = frozenset("script style textarea title noscript iframe".split())
+#: Elements whose content is markup, but never text of the page; like others they end with their parent.
+DROPPED = frozenset("template svg math object canvas select button".split())
+#: What can stand in the head; anything else ends it.
+_HEAD = frozenset("html head base basefont bgsound link meta title script style noscript noframes template".split())
+#: What ends a button or select, and a drawing or formula, that is still open.
+_SECTIONS = frozenset("body main article section nav aside header footer form table".split())
+_ENDS = {t: {"svg", "math"} for t in "p div ul ol dl li blockquote pre h1 h2 h3 h4 h5 h6".split()}
+_ENDS |= {t: {"button", "select", "svg", "math"} for t in _SECTIONS}
+#: In these a drawing or formula holds HTML.
+_HOLDERS = frozenset("foreignobject desc annotation-xml".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span "
                    "strike strong sub sup time tt u var".split())
 #: What an opening tag closes first if it is open, up to the elements that shield it.
@@ -65,7 +75,7 @@ def read(source: str) -> Page:
     """The blocks and text runs of a page, in one pass."""
     page = Page()
     stack: list[tuple[str, int]] = []  # open elements with their block (inline ones: their parent's)
-    links = text_block = at = head = 0
+    links = text_block = at = head = dropped = 0
 
     def block(tag: str, attributes: str) -> int:
         page.tags.append(tag)
@@ -77,16 +87,24 @@ def read(source: str) -> Page:
     stack.append(("#page", block("#page", "")))
 
     def close(upto: int) -> None:
-        nonlocal links, text_block, head
+        nonlocal links, text_block, head, dropped
         while len(stack) > upto:
             tag, _ = stack.pop()
             links -= tag == "a"
             head -= tag == "head"
-            text_block += tag not in INLINE
+            dropped -= tag in DROPPED
+            text_block += tag not in INLINE and (not dropped or tag in DROPPED)
+
+    def leave_head() -> None:
+        close(next(i for i, (t, _) in enumerate(stack) if t == "head"))
 
     def text(end: int) -> None:
-        if end > at and not head:
+        if end > at and not dropped:
             run = source[at:end]
+            if head:
+                if run.isspace():
+                    return
+                leave_head()
             if "&" in run:
                 run = html.unescape(run)
             page.runs.append((stack[-1][1], run, links > 0, text_block))
@@ -108,12 +126,32 @@ def read(source: str) -> Page:
                 if stack[i][0] == tag:
                     close(i)
                     break
-                if tag in INLINE and stack[i][0] not in INLINE:
+                if tag in INLINE and stack[i][0] not in INLINE and stack[i][0] not in DROPPED:
                     break
             else:
-                if tag == "p":
+                if tag == "p" and not dropped:
                     text_block += 1
             continue
+        if dropped:
+            ends = _ENDS.get(tag, ())
+            for i in range(len(stack) - 1, 0, -1) if ends else ():
+                if stack[i][0] in ends:
+                    close(i)
+                elif stack[i][0] in DROPPED or stack[i][0] in _HOLDERS:
+                    break
+        if head and not dropped and tag not in _HEAD:
+            leave_head()
+        if dropped:  # no block, and nothing that counts for one
+            if tag in RAW:
+                end = re.compile(rf"</{re.escape(tag)}[\s>/]", re.I).search(source, position)
+                if not m[3].endswith("/"):
+                    position = at = end.start() if end else n
+            elif tag not in VOID and not m[3].endswith("/"):
+                stack.append((tag, stack[-1][1]))
+                links += tag == "a"
+                head += tag == "head"
+                dropped += tag in DROPPED
+            continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s>/]", re.I).search(source, position)
             if not m[3].endswith("/"):
@@ -121,6 +159,13 @@ def read(source: str) -> Page:
             page.marks[stack[-1][1]] += 1
             text_block += tag not in INLINE and tag not in ("script", "style")
             continue
+        if tag in DROPPED:
+            page.marks[stack[-1][1]] += 1
+            if not m[3].endswith("/"):
+                stack.append((tag, stack[-1][1]))
+                dropped += 1
+            text_block += 1
+            continue
         page.marks[stack[-1][1]] += 1
         if tag in VOID:
             text_block += tag in ("br", "hr")
@@ -138,8 +183,6 @@ def read(source: str) -> Page:
                     close(i)
                 elif stack[i][0] in _SHIELD:
                     break
-            if tag == "body" and head:
-                close(next(i for i, (t, _) in enumerate(stack) if t == "head"))
             text_block += 1
         attributes = m[3]
         if tag in INLINE and not _name_tokens(attributes):

@@ -51,6 +51,29 @@ def test_pages_without_markup_or_text(trees):
     assert isinstance(html_extract.extract_pages([deep], trees)[0], str)
 
 
+def _texts(source):
+    return [run for _, run, _, _ in dom.read(source).runs if run.strip()]
+
+
+def test_unclosed_elements_end_with_their_parent(trees):
+    for tag in ("button", "select", "object", "canvas", "svg", "math", "template"):
+        assert _texts(f"<body><div><{tag}>gone</div><article><p>Stays.</p></article></body>") == ["Stays."]
+        assert _texts(f"<p>a<{tag}>gone<i>too</i></{tag}>b</p>") == ["a", "b"]
+    assert _texts("<button>gone<article>Stays.</article>") == _texts("<svg><path d='x'><p>Stays.</p>") == ["Stays."]
+    assert _texts("<a href=x><button>gone</a>Stays.") == ["Stays."]
+    assert _texts("<button><svg><title>no</title><g/></svg>gone</button>Stays.") == ["Stays."]
+    article = NEWS.index("<article")
+    assert html_extract.extract_pages([NEWS[:article] + "<form><select><option>One<option>Two</form>" + NEWS[article:]],
+                                      trees) == html_extract.extract_pages([NEWS], trees)
+
+
+def test_head_ends_at_what_cannot_stand_in_it():
+    assert _texts("<head><title>T</title><article>Stays.</article>") == ["Stays."]
+    assert _texts("<html><head><meta a> <link b><style>p</style><img c>Stays.") == ["Stays."]
+    assert _texts("<head><title>T</title>Plain <b>text</b>") == ["Plain ", "text"]
+    assert _texts("<head><template><p>no</p></template> <meta a></head><body>yes") == ["yes"]
+
+
 def test_decoding_never_keeps_under_a_dropped_block(trees):
     rng = np.random.default_rng(1)
     for seed in range(30):
