@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import queries as Q
+from . import vector_codes
 from .common import SHINGLE
 from .decontam import LEAST as LEAST_CONTAINED
 from .license_scan import LEAST, NOTICE_K, NOTICES, PHRASE_K, PHRASES, SLACK, STRETCH
@@ -160,6 +161,46 @@ r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score
 SELECT * FROM r WHERE rank <= {Q.BEST}
 """
 
+def _assigned(name: str, book: str) -> str:
+    """CTE: the nearest entry of each part of each vector, ties to the lower one, and its distance."""
+    return f"""
+{name} AS MATERIALIZED (
+  SELECT r, p, arg_min(e, (d, e)) AS e, min(d) AS d
+  FROM (SELECT r, p, e, sum((v - b) * (v - b))::BIGINT AS d FROM part JOIN {book} USING (p, i) GROUP BY r, p, e)
+  GROUP BY r, p)"""
+
+
+def _moved(name: str, book: str, near: str) -> str:
+    """CTE: the codebook after the entries took the floors of their parts' means."""
+    return f"""
+{name} AS MATERIALIZED (
+  SELECT p, e, i, coalesce(m, b) AS b
+  FROM {book} LEFT JOIN (SELECT p, e, i, floor(sum(v)::DOUBLE / count(*))::BIGINT AS m
+                         FROM part JOIN {near} USING (r, p) GROUP BY p, e, i) USING (p, e, i))"""
+
+
+OP12 = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label,
+    list_transform(embedding, lambda c: floor({vector_codes.SCALE} * c::DOUBLE)::BIGINT) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+part AS MATERIALIZED (
+  SELECT r, (k - 1) // (len(x) // {vector_codes.PARTS}) AS p, (k - 1) % (len(x) // {vector_codes.PARTS}) AS i, x[k] AS v
+  FROM (SELECT r, x, unnest(range(1, len(x) + 1)) AS k FROM kept)),
+book0 AS MATERIALIZED (SELECT p, r - 1 AS e, i, v AS b FROM part WHERE r <= {vector_codes.ENTRIES}),
+{_assigned('near0', 'book0')},
+{_moved('book1', 'book0', 'near0')},
+{_assigned('near1', 'book1')},
+{_moved('book2', 'book1', 'near1')},
+{_assigned('near2', 'book2')},
+coded AS (SELECT r, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM near2 GROUP BY r)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(b::VARCHAR, ',' ORDER BY p, e, i)) FROM book2) AS codebooks_sha256
+FROM kept JOIN coded USING (r)
+"""
+
 ORACLE: dict[str, str] = {
     "op2_fixity_audit": OP2, "op4_url_reputation": OP4, "op7_best_vectors": OP7, "op8_contained_items": OP8,
-    "op9_shard_documents": OP9, "op10_licenses": OP10}
+    "op9_shard_documents": OP9, "op10_licenses": OP10,
+    "op12_vector_codes": OP12}

@@ -10,7 +10,21 @@ from pyspark.sql import functions as F
 
 from gridwork.session import read_table
 
-from . import decontam, html_extract, langid, license_scan, order_minhash, packing, sharding, topk, url_reputation, warc_fixity
+from . import (
+    decontam,
+    html_extract,
+    langid,
+    license_scan,
+    order_minhash,
+    packing,
+    sharding,
+    topk,
+    toxicity,
+    url_reputation,
+    vector_codes,
+    warc_fixity,
+    whitening,
+)
 from .common import stage
 
 #: Parameters of the queries.
@@ -77,8 +91,21 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op11_whitened_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_main_text, op2_fixity_audit, op3_language, op4_url_reputation, op5_pack_documents,
-        op6_near_duplicates, op7_best_vectors, op8_contained_items, op9_shard_documents, op10_licenses)
+        op6_near_duplicates, op7_best_vectors, op8_contained_items, op9_shard_documents, op10_licenses,
+        op11_whitened_vectors, op12_vector_codes, op13_toxicity)
 }
