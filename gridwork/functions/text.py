@@ -206,10 +206,19 @@ def clean_heading(x) -> Column:
     return strip_ws(F.regexp_replace(x, HEADING_BRACKETS_RE, ""))
 
 
+def tab_order(x) -> Column:
+    """C17: the number after ``-tab`` as an order key, exact at any length: no
+    number last, then by the count of digits (without leading zeros), then by them."""
+    d = F.regexp_extract(_c(x), "-tab([0-9]+)", 1)
+    digits = F.ltrim(d, F.lit("0"))
+    return F.struct((d == "").alias("none"), F.length(digits).alias("n"), digits.alias("d"))
+
+
 def tab_number(x) -> Column:
-    """C17: digits after ``-tab``; NULL (sorts last, i.e. infinity) if none."""
+    """C17: the digits after ``-tab`` as a number of up to 38 digits; NULL if none (or more:
+    :func:`tab_order` sorts numbers of any length)."""
     d = F.regexp_extract(_c(x), "-tab([0-9]+)", 1)
-    return F.when(d != "", d.try_cast("bigint"))
+    return F.when(d != "", d.try_cast("decimal(38,0)"))
 
 
 def doc_prefix(x) -> Column:

@@ -91,7 +91,7 @@ def map_labels(nli: DataFrame, mapping=None) -> DataFrame:
 def shuffle(df: DataFrame, seed: int = 42) -> DataFrame:
     """A seeded order, given as ``shuffle_pos`` (1-based, exact, distributed)."""
     keyed = df.withColumn("_k", rand_key(seed, *df.columns))
-    return global_rank(keyed, ["_k"], out="shuffle_pos").drop("_k")
+    return global_rank(keyed, ["_k"], out="shuffle_pos", ties=True).drop("_k")
 
 
 def train_eval_split(df: DataFrame, test_size: float = 0.2, seed: int = 42) -> DataFrame:

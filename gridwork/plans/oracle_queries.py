@@ -143,6 +143,21 @@ SELECT CAST(a.r AS INTEGER) AS row_split, CAST(b.c AS INTEGER) AS col_split, CAS
 FROM bnd, generate_series(0, bnd.mr) a(r), generate_series(0, bnd.mc) b(c)
 LEFT JOIN cnt ON cnt.row_split = a.r AND cnt.col_split = b.c"""
 
+ORACLE["split_runs"] = with_(CONV, GOLD, """
+cnt AS (SELECT row_split, col_split, count(*) AS n FROM glab GROUP BY ALL),
+bnd AS (SELECT max(row_split) AS mr, max(col_split) AS mc FROM glab),
+inrow AS (SELECT *, lag(col_split, 1, -1) OVER w AS before, lead(col_split) OVER w AS after
+          FROM cnt WINDOW w AS (PARTITION BY row_split ORDER BY col_split)),
+rws AS (SELECT row_split, lag(row_split, 1, -1) OVER (ORDER BY row_split) AS above FROM (SELECT DISTINCT row_split FROM cnt)),
+every AS (
+  SELECT row_split AS row_from, row_split AS row_to, col_split AS col_from, col_split AS col_to, n FROM cnt
+  UNION ALL SELECT row_split, row_split, before + 1, col_split - 1, 0 FROM inrow
+  UNION ALL SELECT row_split, row_split, col_split + 1, mc, 0 FROM inrow, bnd WHERE after IS NULL
+  UNION ALL SELECT above + 1, row_split - 1, 0, mc, 0 FROM rws, bnd)""") + """
+SELECT CAST(row_from AS INTEGER) AS row_from, CAST(row_to AS INTEGER) AS row_to, CAST(col_from AS INTEGER) AS col_from,
+       CAST(col_to AS INTEGER) AS col_to, n
+FROM every WHERE row_from <= row_to AND col_from <= col_to"""
+
 ORACLE["binary_metrics"] = """
 WITH m AS (
   SELECT count(*) AS n, sum(CASE WHEN quality = toxic THEN 1 ELSE 0 END) AS ok,
@@ -201,6 +216,8 @@ ORACLE["score_distinct_cells"] = with_(GRID, f"""
 st AS (SELECT doc_id, table_id, r, c, CAST({_RULE_TYPE} AS DOUBLE[]) AS type FROM slots WHERE text IS NOT NULL)""") + \
     "\nSELECT doc_id, table_id, r, c, type, CAST(list_position(type, list_max(type)) - 1 AS INTEGER) AS label FROM st"
 
+ORACLE["score_stored_cells"] = ORACLE["score_distinct_cells"]
+
 ORACLE["softmax_label"] = with_(GRID, """
 lg AS (SELECT doc_id, table_id, r, c, list_transform(type, lambda v: v * 10.0) AS l FROM slots WHERE type IS NOT NULL),
 ex AS (SELECT *, list_transform(l, lambda v: exp(v - list_max(l))) AS e FROM lg),
@@ -242,6 +259,10 @@ ORACLE["corpus_scan"] = with_(GRID, EXPECTED_EXTRACT) + \
 ORACLE["slots_round_trip"] = with_(GRID) + \
     "\nSELECT doc_id, page_id, table_id, table_ord, r, c, cell_id, text FROM slots"
 
+ORACLE["text_ids_round_trip"] = with_(GRID) + """
+SELECT regexp_extract(doc_id, '([0-9]+)$', 1) AS doc_id, table_id, r, c, text AS sentence, cell_id, '' AS data
+FROM slots WHERE text IS NOT NULL"""
+
 ORACLE["rules_file"] = """
 WITH lines AS (
   SELECT '(' || replace(p_brand || p_type, ' ', '') || ')' AS key, p_size, p_partkey FROM part WHERE p_partkey % 5 <> 0)
@@ -251,6 +272,21 @@ FROM lines GROUP BY key"""
 
 ORACLE["questions_json"] = with_(CONV) + "\nSELECT qid, question, doc_id, table_id, cell_id FROM questions"
 
+ORACLE["json_one_object"] = ORACLE["questions_json"]
+
+ORACLE["json_with_errors"] = with_(CONV, GOLD, """
+placed AS (
+  SELECT *, CAST(regexp_extract(doc_id, '([0-9]+)$', 1) AS BIGINT) % 10 = 3
+         AND CAST(regexp_extract(table_id, 'tab([0-9]+)$', 1) AS BIGINT)
+             = max(CAST(regexp_extract(table_id, 'tab([0-9]+)$', 1) AS BIGINT)) OVER (PARTITION BY doc_id) AS broken
+  FROM gold0)""") + """
+SELECT CASE WHEN broken THEN 'error' ELSE 'label' END AS kind, table_id,
+       CAST(CASE WHEN NOT broken THEN row_split END AS INTEGER) AS row_split,
+       CAST(CASE WHEN NOT broken THEN col_split END AS INTEGER) AS col_split
+FROM placed"""
+
+ORACLE["tsv_line_breaks"] = "SELECT doc_id, text, lang, source FROM documents"
+
 ORACLE["json_round_trip"] = with_(CONV, GOLD) + """
 SELECT doc_id, table_id, v AS variant, CAST(row_split + i - 1 AS INTEGER) AS row_split, CAST(col_split AS INTEGER) AS col_split
 FROM gold0, (SELECT unnest(['argmax_micro', 'argmax_macro', 'probability_micro', 'probability_macro']) AS v,

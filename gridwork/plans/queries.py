@@ -52,7 +52,7 @@ def extract_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B1-B5 (+C1-C6): HTML pages rendered from the fixture tables, parsed back."""
     from gridwork.operators.extract import extract_tables as ext, parse_pages
     from gridwork.sources.fixtures import report_pages
-    raw = parse_pages(report_pages(spark, sf_dir))
+    raw = parse_pages(report_pages(spark, sf_dir), kinds=["slot"])
     return ext(raw).select("doc_id", "table_id", "table_ord", "r", "c", "cell_id", "text")
 
 
@@ -61,7 +61,7 @@ def context_above(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H1-H4: the context sentence of every keyed table of the rendered pages."""
     from gridwork.operators.extract import context_above as ctx, parse_pages
     from gridwork.sources.fixtures import report_pages
-    return ctx(parse_pages(report_pages(spark, sf_dir)))
+    return ctx(parse_pages(report_pages(spark, sf_dir), kinds=["context"]))
 
 
 # ------------------------------------------------------- text functions --
@@ -84,7 +84,7 @@ def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "table_id", F.col("text").alias("rules_text"),
         T.has_date("src").alias("has_date"),
         T.clean_heading("src").alias("heading"),
-        T.tab_number("table_id").alias("tab_no"),
+        T.tab_number("table_id").cast("bigint").alias("tab_no"),
         T.doc_prefix("table_id").alias("doc_prefix"),
         T.needs_translation("src").alias("needs_translation"),
         T.is_number(F.regexp_extract("src", "[0-9.]+", 0)).alias("is_number"))
@@ -229,6 +229,29 @@ def score_distinct_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "table_id", "r", "c", "type", argmax_label("type").alias("label"))
 
 
+@register("score_stored_cells")
+def score_stored_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1 + E4 with a result store: the header rows' cells are scored in a first run; in a second one,
+    over all cells, only the texts that are new."""
+    from gridwork.functions.vectors import argmax_label
+    from gridwork.operators.scoring import rule_cell_classifier, score_stored
+    from gridwork.plans.io_queries import scratch
+    from gridwork.sources.fixtures import report_grid
+    path = scratch(spark, "results")
+    g = report_grid(spark, sf_dir).filter(F.col("text").isNotNull()).drop("type")
+    load = lambda: rule_cell_classifier
+    score_stored(g.filter("r = 0"), ["text"], load, path, "rules-1")
+    s = score_stored(g, ["text"], load, path, "rules-1")
+    return s.select("doc_id", "table_id", "r", "c", "type", argmax_label("type").alias("label"))
+
+
+@register("split_runs")
+def split_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I4, sparse: the matrix of the gold splits as rectangles of equal counts."""
+    from gridwork.operators.evaluate import split_runs as sr
+    return sr(_gold(spark, sf_dir))
+
+
 @register("softmax_label")
 def softmax_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E2 + E4: softmax of hashed logits and the argmax label."""

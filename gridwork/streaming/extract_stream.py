@@ -7,7 +7,7 @@ matter which files arrive together. A micro-batch is written to its own
 ``batch=<id>`` folder of the slots table and overwrites it when it is run
 again, so a batch that fails half-way leaves no rows twice. Where files of
 different batches have the same table id, ``extract.last_files`` over the
-table read back keeps the last file's.
+slots read back keeps the last file's.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ def start_extraction(spark: SparkSession, root: str, out_path: str, checkpoint:
                      normalize: bool = True, trigger_once: bool = False, ext: str = ".html"):
     """Start the stream; returns the ``StreamingQuery``."""
     pages = stream_corpus(spark, root, ext)
-    raw = parse_pages(pages)
+    raw = parse_pages(pages, kinds=["slot"])
 
     def sink(batch: DataFrame, epoch_id: int):
         out = extract_tables(batch)

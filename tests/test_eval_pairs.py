@@ -1,5 +1,6 @@
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from gridwork.operators.evaluate import binary_metrics, include_flag, split_accuracy, split_matrix
@@ -157,3 +158,89 @@ def test_other_classes_are_left_out_and_counted(spark):
     nli = spark.createDataFrame(rows, "label string, s1 string")
     assert sorted(r.label for r in halve_classes(nli).collect()) == ["entailment", "neutral"]
     assert {(r.label, r.n) for r in unknown_classes(nli).collect()} == {("odd", 1), (None, 1)}
+
+
+def _tied(spark, n=30_000):
+    """A third of all rows are equal."""
+    df = spark.range(n, numPartitions=6).select(F.when(F.col("id") % 3 == 0, "same").otherwise(F.col("id").cast("string")).alias("s1"), F.lit("x").alias("s2"))
+    return df.withColumn("label", F.lit(1))
+
+
+def test_ranks_of_equal_rows_are_many_tasks(spark):
+    from gridwork.operators.ranking import global_rank
+    ranked = global_rank(_tied(spark), ["s1"], ties=True, partitions=12)
+    assert sorted(r["rank"] for r in ranked.collect()) == list(range(1, 30_001))
+    sizes = [r["count"] for r in ranked.groupBy(F.input_file_name().alias("f")).count().collect()]
+    assert max(sizes) < 30_000 / 6
+    same = [r["rank"] for r in ranked.filter("s1 = 'same'").collect()]
+    assert max(same) - min(same) == len(same) - 1 == 9_999
+
+
+def test_exact_sizes_with_a_third_of_rows_equal(spark):
+    df = _tied(spark)
+    split = train_eval_split(df, 0.2)
+    assert split.groupBy("split").count().orderBy("split").collect() == [("eval", 6000), ("train", 24000)]
+    # the selection is by key: equal rows straddle the edge at most at one key
+    kinds = {(r.s1 == "same", r.split): r["count"] for r in split.groupBy("s1", "split").count().collect()}
+    assert sum(v for (same, _), v in kinds.items() if same) <= 10_000
+    nli = df.withColumn("label", F.lit("neutral")).unionByName(_tied(spark, 999).withColumn("label", F.lit("contradiction")))
+    got = {r.label: r["count"] for r in halve_classes(nli).groupBy("label").count().collect()}
+    assert got == {"neutral": 15_000, "contradiction": 500}
+    order = shuffle(df).collect()
+    assert sorted(r.shuffle_pos for r in order) == list(range(1, 30_001))
+
+
+@pytest.mark.parametrize("pairs", [[(0, 0)], [(2, 3)], [(1, 1), (1, 1), (4, 0), (4, 5)], [(0, 2), (3, 3)], []])
+def test_runs_make_up_the_matrix(spark, pairs):
+    from gridwork.operators.evaluate import split_runs
+    gold = spark.createDataFrame([("D", f"t{i}", True, r, c) for i, (r, c) in enumerate(pairs)],
+                                 "doc_id string, table_id string, is_include boolean, row_split int, col_split int")
+    wanted = {(r, c): pairs.count((r, c)) for r in range(max([r for r, _ in pairs], default=-1) + 1)
+              for c in range(max([c for _, c in pairs], default=-1) + 1)}
+    assert sorted(map(tuple, split_matrix(gold).collect())) == sorted((r, c, n) for (r, c), n in wanted.items())
+    area = [(r, c) for x in split_runs(gold).collect() for r in range(x.row_from, x.row_to + 1) for c in range(x.col_from, x.col_to + 1)]
+    assert sorted(area) == sorted(wanted)
+    part = split_matrix(gold, rows=(1, 2), cols=(1, 3)).collect()
+    assert sorted(map(tuple, part)) == sorted((r, c, n) for (r, c), n in wanted.items() if 1 <= r <= 2 and 1 <= c <= 3)
+
+
+def test_a_wrong_label_costs_no_matrix(spark):
+    from gridwork.operators.evaluate import split_runs
+    gold = spark.createDataFrame([("D", "a", True, 1, 1), ("D", "b", True, 10 ** 6, 10 ** 6)],
+                                 "doc_id string, table_id string, is_include boolean, row_split int, col_split int")
+    runs = split_runs(gold).collect()
+    assert len(runs) <= 8 and sum((r.row_to - r.row_from + 1) * (r.col_to - r.col_from + 1) for r in runs) == (10 ** 6 + 1) ** 2
+    assert sorted(map(tuple, split_matrix(gold, rows=(0, 1), cols=(0, 1)).collect())) == [(0, 0, 0), (0, 1, 0), (1, 0, 0), (1, 1, 1)]
+
+
+def test_stored_results_are_not_scored_again(spark, tmp_path):
+    from gridwork.operators.scoring import score_stored
+    log, place = str(tmp_path / "log"), str(tmp_path / "store")
+    (tmp_path / "log").mkdir()
+
+    def load(version):
+        def start():
+            import os
+            import uuid
+
+            def fn(pdf):
+                with open(f"{log}/{uuid.uuid4().hex}", "w") as f:
+                    f.write(f"{os.getpid()} {len(pdf)}")
+                return [None if t is None else [float(len(t)), float(version)] for t in pdf["text"]]
+            return fn
+        return start
+
+    def scored():
+        return sum(int(p.read_text().split()[1]) for p in (tmp_path / "log").iterdir())
+
+    df = spark.createDataFrame([("a",), ("bb",), ("a",), (None,), ("",)], "text string")
+    wanted = [("", [0.0, 1.0]), ("a", [1.0, 1.0]), ("a", [1.0, 1.0]), ("bb", [2.0, 1.0])]
+    for _ in range(2):
+        got = score_stored(df, ["text"], load(1), place, "v1").collect()
+        assert sorted((r.text, list(r.type)) for r in got if r.text is not None) == wanted and len(got) == 5
+        assert scored() == 4
+    more = score_stored(df.union(spark.createDataFrame([("ccc",)], "text string")), ["text"], load(1), place, "v1")
+    assert more.count() == 6 and scored() == 5
+    assert {tuple(r.type) for r in score_stored(df, ["text"], load(2), place, "v2").collect() if r.text} == {(1.0, 2.0), (2.0, 2.0)}
+    assert scored() == 9
+    assert score_stored(df.limit(0), ["text"], load(3), place, "v3").count() == 0 and scored() == 9
