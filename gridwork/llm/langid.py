@@ -11,7 +11,8 @@ Training adds up one vector per task and language before anything is
 shuffled; the model is languages x DIMENSIONS numbers, checked against
 MAX_LANGUAGES before it goes to the tasks. Predicting is one pass over the
 whole texts without a shuffle. Texts are taken in portions of PORTION
-characters, so memory does not depend on the batch.
+characters and n-grams in blocks, so memory depends neither on the batch nor
+on how many different n-grams its texts have, but on the longest text.
 
 Whether a text is in a learnt language at all is another question, since the
 best of several centred cosines is never low. It is asked of the largest
@@ -51,6 +52,8 @@ LETTERS = 4096
 MAX_LANGUAGES = 1000
 #: Characters of texts that are counted at a time.
 PORTION = 500_000
+#: N-grams, and numbers of a table texts x n-grams, that are worked on at a time; an n-gram that one of so many texts has is in the table.
+BLOCK, TABLE, MANY = 4096, 8_000_000, 200
 UNKNOWN = "und"
 #: A text is in no learnt language if its cosine is NOISE and more below SHARE of this quantile of the training texts'.
 QUANTILE, SHARE = 0.25, 0.5
@@ -106,13 +109,38 @@ def text_vectors(texts: list[str | None]) -> np.ndarray:
 
 
 def _summed(counted: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    if not (every := [g for g, _ in counted]):
-        return np.zeros((0, DIMENSIONS), np.float32)
-    grams, at = np.unique(np.concatenate(every), return_inverse=True)
-    table = np.zeros((len(counted), len(grams)), np.float32)
-    row = np.repeat(np.arange(len(counted)), [len(g) for g in every])
-    table[row, at] = np.concatenate([c for _, c in counted])
-    return table @ gram_vectors(grams).astype(np.float32)
+    """Blocks of n-grams at a time: those that many of the texts have as a product of
+    matrices, the others text by text, so nothing grows with texts times n-grams."""
+    out = np.zeros((len(counted), DIMENSIONS), np.float32)
+    if not any(len(g) for g, _ in counted):
+        return out
+    if len(counted) == 1:  # maybe a very long text: its n-grams are different ones already
+        grams, counts = counted[0]
+        for start in range(0, len(grams), BLOCK):
+            out[0] += counts[start:start + BLOCK].astype(np.float32) @ gram_vectors(grams[start:start + BLOCK]).astype(np.float32)
+        return out
+    grams, at = np.unique(np.concatenate([g for g, _ in counted]), return_inverse=True)
+    row = np.repeat(np.arange(len(counted)), [len(g) for g, _ in counted])
+    counts = np.concatenate([c for _, c in counted]).astype(np.float32)
+    many = np.bincount(at) * MANY >= len(counted)
+    rare = np.flatnonzero(~many[at])
+    for start in range(0, len(rare), BLOCK):
+        some = rare[start:start + BLOCK]
+        vectors = gram_vectors(grams[at[some]]).astype(np.float32) * counts[some, None]
+        first = np.flatnonzero(np.diff(row[some], prepend=-1))
+        out[row[some[first]]] += np.add.reduceat(vectors, first, axis=0)
+    place = np.cumsum(many) - 1
+    often = np.flatnonzero(many[at])
+    often = often[np.argsort(place[at[often]], kind="stable")]
+    column, grams = place[at[often]], grams[many]
+    step = max(min(BLOCK, TABLE // len(counted)), 1)
+    for start in range(0, len(grams), step):
+        own = grams[start:start + step]
+        some = slice(*np.searchsorted(column, [start, start + step]))
+        table = np.zeros((len(counted), len(own)), np.float32)
+        table[row[often[some]], column[some] - start] = counts[often[some]]
+        out += table @ gram_vectors(own).astype(np.float32)
+    return out
 
 
 def portions(lengths: Iterator[int], most: int = PORTION) -> Iterator[slice]:

@@ -43,6 +43,47 @@ def test_text_vector_against_its_definition():
     assert not langid.text_vectors([None]).any()
 
 
+@pytest.mark.parametrize("texts", [
+    ["abc abd"] * 200 + ["xyz", None, ""], ["".join(chr(0x4E00 + (i * 37 + j * j) % 20_000) for j in range(60)) for i in range(300)],
+    ["".join(chr(0x4E00 + (j * j + j // 7) % 20_000) for j in range(30_000)), "ab ab ab"], [None], []])
+def test_text_vectors_in_blocks(texts, monkeypatch):
+    monkeypatch.setattr(langid, "BLOCK", 50)
+    monkeypatch.setattr(langid, "TABLE", 600)
+    got = langid.text_vectors(texts)
+    for text, vector in zip(texts, got, strict=True):
+        grams, counts = langid.gram_counts(text)
+        assert (vector == (langid.gram_vectors(grams) * counts[:, None]).sum(axis=0) if len(grams) else vector == 0).all()
+
+
+def test_languages_by_hand(spark):
+    """The whole result at sf0.001 from the contract's definition, one text at a time."""
+    docs = spark.read.parquet(f"{parity.SMALL}/documents.parquet").select("doc_id", "text", "lang").collect()
+    held = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 for r in docs}
+    vector = {}
+    for r in docs:
+        grams, counts = langid.gram_counts(r["text"])
+        vector[r["doc_id"]] = sum((v * float(c) for v, c in zip(langid.gram_vectors(grams), counts, strict=True)) if len(grams) else (),
+                                  np.zeros(langid.DIMENSIONS))
+    sums = {}
+    for r in docs:
+        if not held[r["doc_id"]] and r["lang"] is not None and r["text"] is not None:
+            sums[r["lang"]] = sums.get(r["lang"], 0) + vector[r["doc_id"]]
+    unit = {k: v / np.linalg.norm(v) for k, v in sums.items()}
+    mean = sum(unit.values()) / len(unit)
+    unit = {k: (v - mean) / np.linalg.norm(v - mean) for k, v in unit.items()}
+    got = {r["doc_id"]: r for r in QUERIES["op3_language"](spark, parity.SMALL).collect()}
+    assert len(got) == len(docs)
+    for r in docs:
+        own = got[r["doc_id"]]
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert (own["lang_pred"], own["score"]) == ("und", 0)
+            continue
+        v = vector[r["doc_id"]] / np.linalg.norm(vector[r["doc_id"]]) - mean
+        cosine = {k: float(v @ p / np.linalg.norm(v)) for k, p in unit.items()}
+        assert own["lang_pred"] == max(sorted(cosine), key=cosine.get) and abs(own["score"] - max(cosine.values())) < 1e-9
+        assert own["held_out"] == held[r["doc_id"]]
+
+
 def test_language_edges(spark, edges):
     got = defaultdict(list)
     for r in langid.identify(edges).collect():
