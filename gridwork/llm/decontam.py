@@ -31,6 +31,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -141,6 +142,15 @@ def contained_items(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the documents that contain an item."""
-    found = contained_items(docs, items).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_found"], "left_anti")
+    """``docs`` without the rows whose text contains an item. Each row is judged by its text
+    alone: null and repeated ids make no difference, a null text stays."""
+    def without(docs: DataFrame, sent) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = [not sent.value.matches(t.as_py()) for t in batch.column("text")]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    context = docs.sparkSession.sparkContext
+    return reduce(without, (context.broadcast(ItemIndex(block)) for block in blocks(items)), docs)
