@@ -19,12 +19,14 @@ the texts of one key not all pairs are formed:
 
 1. each text is aligned with the first of those it shares keys with: the text with the most
    exact copies, then the smallest;
-2. then with the first text of every key, unless they are in one class by now;
+2. then with the first text of every key, unless they are in one class by now: one pair
+   of texts for two classes at a time, so that texts that got into one class
+   meet no more, and what is left after ROUNDS at once;
 3. the texts of keys that still hold several classes, and all short texts with
    those long enough to be like one, are joined exactly: two
    texts that reach the similarity share one of their rarest shingles (prefix
    and position filter), so only texts of different classes with a rare shingle
-   in common are aligned. No partner or candidate is capped.
+   in common are aligned, in rounds as in step 2. No partner or candidate is capped.
 
 Hot groups: equal texts are one row per node before keys are counted; minima
 are partly taken before the shuffle; joins on a hot key are ones that Spark
@@ -33,10 +35,10 @@ sequences are only moved for texts of candidate pairs.
 
 Defined results: a text that is null or has no word is a class by itself, and
 so is a null doc_id (its class is null). A text of fewer than five words is
-one shingle of all of them. Rows that repeat a doc_id get that document's one
-class, even where their texts differ. A class is named by its smallest doc_id,
-which is the document to keep. Empty tables give an empty result. Other
-columns are dropped.
+one shingle of all of them. Each row has the class of its text: rows that repeat
+a doc_id with another text may be in another class. A class is named by its
+smallest doc_id, which is the document to keep (all its rows in that class).
+Empty tables give an empty result. Other columns are dropped.
 """
 
 from __future__ import annotations
@@ -55,6 +57,8 @@ from .components import components
 KEPT, BANDS = 6, 40
 #: Texts of up to so many shingles are also compared without keys, with all that could reach SIMILARITY.
 SHORT = 60
+#: Rounds in which two classes meet by one pair of texts.
+ROUNDS = 2
 #: Node numbers up to so many are broadcast (8 bytes each); more are joined.
 BROADCAST_NODES = 1_000_000
 #: Elements of a diagonal that an alignment compares at a time.
@@ -105,6 +109,7 @@ PIECE = 500
 
 
 def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sketches and words of texts, with the ``id`` where there is one beside doc_id."""
     hashes = word_hashes()
     for pdf in batches:
         for at in range(0, len(pdf), PIECE):
@@ -115,7 +120,8 @@ def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 whole = xxhash.xxh3_128_digest(" ".join(words))
                 rows.append((doc, *np.frombuffer(whole, np.int64).tolist(), len(words),
                              sketches(own).view(np.int64), own.astype(np.uint32).tobytes()))
-            yield pd.DataFrame(rows, columns=["doc_id", "h1", "h2", "n", "keys", "words"])
+            out = pd.DataFrame(rows, columns=["doc_id", "h1", "h2", "n", "keys", "words"])
+            yield out.assign(id=pdf["id"].iloc[at:at + PIECE].to_numpy()) if "id" in pdf else out
 
 
 def indel_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -193,19 +199,30 @@ def align(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                  .mapInPandas(_aligned, "a long, b long"))
 
 
-def _classes(links: DataFrame, members: DataFrame) -> DataFrame:
-    """members with ``class``, each by itself where it has no link."""
-    found = components(links)
-    return members.join(found, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
-
-
-def _more(links: DataFrame, classes: DataFrame, pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """links and classes(node, class) with the links among further pairs."""
-    pairs = stage(pairs)
-    if pairs.isEmpty():
-        return links, classes
-    links = stage(links.union(align(pairs, texts)))
-    return links, stage(_classes(links, classes.select("node")))
+def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """classes(node, class) after links(a, b) among nodes. Only the different pairs of
+    classes that are linked go into the search for components, and each class once."""
+    a, b = (classes.select(F.col("node").alias(x), F.col("class").alias(f"class_{x}")) for x in "ab")
+    pairs = stage(links.join(a, "a").join(b, "b").select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b"))
+                  .filter("a <> b").distinct())
+    found = components(pairs).withColumnRenamed("node", "class")
+    return stage(classes.join(found, "class", "left").select("node", F.coalesce("component", "class").alias("class")))
+
+
+def _met(classes: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """classes(node, class) after all links among pairs(a, b) that matter: in a round two classes
+    meet by one pair of texts; pairs whose texts are in one class by then drop out."""
+    side = lambda x: classes.select(F.col("node").alias(x), F.col("class").alias(f"class_{x}"))
+    left = stage(pairs)
+    for last in [False] * ROUNDS + [True]:
+        left = stage(left.join(side("a"), "a").join(side("b"), "b").filter("class_a <> class_b"))
+        if left.isEmpty():
+            break
+        one = left.groupBy(F.least("class_a", "class_b"), F.greatest("class_a", "class_b")).agg(F.min(F.struct("a", "b")).alias("p"))
+        some = stage((left if last else one.select("p.a", "p.b")).select("a", "b"))
+        classes = _joined(classes, align(some, texts))
+        left = left.select("a", "b").join(some, ["a", "b"], "left_anti")
+    return classes
 
 
 #: Shingles that a task gathers before it passes them on, beyond those of one text.
@@ -269,15 +286,16 @@ def rare_partners(nodes: DataFrame, texts: DataFrame) -> DataFrame:
             .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id and n_words of every document."""
-    texts = stage(only(docs, "doc_id", "text").mapInPandas(
-        _sketched, "doc_id long, h1 long, h2 long, n long, keys array<long>, words binary"))
-    worded = texts.filter("n > 0 and doc_id is not null")
+def _classed(rows: DataFrame) -> DataFrame:
+    """doc_id, id, n, first of every row of rows(doc_id, id, text), where doc_id numbers the rows: ``first``
+    is the smallest id of the row's class, null where the row is a class by itself."""
+    texts = stage(rows.select("doc_id", "id", "text").mapInPandas(
+        _sketched, "doc_id long, h1 long, h2 long, n long, keys array<long>, words binary, id long"))
+    worded = texts.filter("n > 0 and id is not null")
     same = stage(worded.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"),
-                                                F.max("n").alias("n")))
+                                                F.max("n").alias("n"), F.min("id").alias("first")))
     keyed = (worded.select("h1", "h2", "doc_id", "keys")
-             .join(same.drop("n").withColumnRenamed("node", "doc_id"), ["h1", "h2", "doc_id"])
+             .join(same.drop("n", "first").withColumnRenamed("node", "doc_id"), ["h1", "h2", "doc_id"])
              .select(F.col("doc_id").alias("node"), "copies", F.explode("keys").alias("key")))
     several = (keyed.groupBy("key").agg(F.min("node").alias("_low"), F.max("node").alias("_high"))
                .filter("_low < _high").select("key"))
@@ -287,31 +305,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = stage(shared.drop("copies").join(centers, "key").select("key", "node", "c.center", "c.rank"))
     # whatever can reach SIMILARITY with a short text has at most SHORT / SIMILARITY shingles
     short = same.filter(F.col("n") - (SHINGLE - 1) <= SHORT / SIMILARITY).select("node")
-    members = stage(shared.select("node").union(short).distinct())
+    classes = stage(shared.select("node").union(short).distinct().withColumn("class", F.col("node")))
 
     first = (shared.filter("node <> center").groupBy("node").agg(F.min(F.struct("rank", "center")).alias("c"))
              .select("node", "c.center"))
-    links = align(stage(first.select(F.col("center").alias("a"), F.col("node").alias("b"))), texts)
-    classes = stage(_classes(links, members))
+    classes = _joined(classes, align(stage(first.select(F.col("center").alias("a"), F.col("node").alias("b"))), texts))
 
-    of_center = classes.select(F.col("node").alias("center"), F.col("class").alias("center_class"))
     rest = (shared.filter("node <> center").select("node", "center").distinct()
-            .join(first.withColumn("_done", F.lit(1)), ["node", "center"], "left_anti")
-            .join(classes, "node").join(of_center, "center").filter("class <> center_class"))
-    links, classes = _more(links, classes, rest.select(F.col("center").alias("a"), F.col("node").alias("b")), texts)
+            .join(first.withColumn("_done", F.lit(1)), ["node", "center"], "left_anti"))
+    classes = _met(classes, rest.select(F.col("center").alias("a"), F.col("node").alias("b")), texts)
 
     open_keys = (shared.join(classes, "node").groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"))
                  .filter("low < high").select("key"))
     open_nodes = stage(shared.join(open_keys, "key", "left_semi").select("node").union(short).distinct().join(classes, "node"))
-    _, classes = _more(links, classes, rare_partners(open_nodes, texts), texts)
+    classes = _met(classes, rare_partners(open_nodes, texts), texts)
 
-    named = same.join(classes, "node", "left").select("h1", "h2", F.coalesce("class", "node").alias("class_id"))
-    out = texts.select("doc_id", "h1", "h2", F.col("n").alias("n_words")).join(named, ["h1", "h2"], "left")
-    own = F.when((F.col("n_words") > 0) & F.col("doc_id").isNotNull(), F.col("class_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", own.alias("class_id"), "n_words")
+    of_text = same.join(classes, "node", "left").select("h1", "h2", "first", F.coalesce("class", "node").alias("class"))
+    named = of_text.groupBy("class").agg(F.min("first").alias("first"))
+    by_text = of_text.drop("first").join(named, "class").select("h1", "h2", "first")
+    out = texts.select("doc_id", "id", "h1", "h2", "n").join(by_text, ["h1", "h2"], "left")
+    return out.select("doc_id", "id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("first")).alias("first"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id and n_words of every document."""
+    rows = only(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("doc_id"), F.col("doc_id").alias("id"), "text")
+    return _classed(rows).select(F.col("id").alias("doc_id"), F.coalesce("first", "id").alias("class_id"), F.col("n").alias("n_words"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each class: the one that names it (of rows that repeat its id, all)."""
-    others = near_duplicates(docs).filter("doc_id <> class_id").select(F.col("doc_id").alias("_other")).distinct()
-    return docs.join(others, docs["doc_id"] == others["_other"], "left_anti")
+    """``docs`` with one document of each class: the one that names it (of rows that repeat its id in this class, all)."""
+    # the rows are stored with their numbers, so that both readings mean the same ones
+    number = "_row"
+    while number in docs.columns:
+        number += "_"
+    rows = stage(docs.withColumn(number, F.monotonically_increasing_id()))
+    classed = _classed(rows.select(F.col(number).alias("doc_id"), rows["doc_id"].alias("id"), rows["text"]))
+    others = classed.filter("id <> first").select(F.col("doc_id").alias("_other"))
+    return rows.join(others, rows[number] == others["_other"], "left_anti").drop(number)

@@ -151,6 +151,28 @@ def test_near_duplicate_edges(spark):
     assert kept.columns == docs.columns and kept.count() == docs.count()
 
 
+def test_rows_that_share_an_id_have_the_class_of_their_text(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    docs = spark.createDataFrame([(5, a), (5, b), (1, a)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in order_minhash.keep_one(docs).collect()) == [(1, a), (5, b)]
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a + " more"), (3, b + " more")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["class_id"], r["n_words"]) for r in order_minhash.near_duplicates(docs).collect())
+    assert got == [(1, 1, 40), (1, 1, 40), (2, 1, 41), (3, 1, 41)]
+    kept = sorted(r["text"] for r in order_minhash.keep_one(docs).collect())
+    assert kept == [a, b]
+
+
+def test_clean_judges_rows_by_their_text(spark):
+    item = "one two three four five six seven"
+    rows = [(None, "x " + item), (None, "fine"), (7, "y " + item + " z"), (7, "also fine"), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_found", F.lit(1))
+    items = spark.createDataFrame([(1, item), (2, None)], "item_id long, text string")
+    kept = decontam.clean(docs, items)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == [(0, "fine"), (7, "also fine"), (8, "")]
+    assert decontam.clean(docs, items.limit(0)).count() == 5
+
+
 def test_near_duplicates_of_nothing(spark):
     docs = edge_cases.documents(spark)
     assert order_minhash.near_duplicates(edge_cases.empty(spark, docs)).count() == 0
