@@ -16,7 +16,9 @@ the tasks before it. So no length, however common, is gathered in one task,
 and the driver sees only the histogram. The plan (bounded by the patterns
 used, about SEQUENCE of them, and their places) is broadcast.
 
-Words are tokenised once and remembered (up to MEMORY of them in a worker): the
+Words are tokenised once and remembered (about MEMORY of them in a worker, in two
+generations: when the younger one is full it becomes the older one, whose words
+are forgotten unless they come again): the
 tokenizer drops white space and never joins what it separates, so that a text's ids are those
 of its words in turn.
 
@@ -63,6 +65,7 @@ class Words(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self._ids([MARK])[0]
         if len(self.mark) != 1:
@@ -73,10 +76,13 @@ class Words(dict):
 
     def learn(self, words: set[str]) -> None:
         """Tokenise the words that aren't known yet."""
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > MEMORY:
+        if len(self) > MEMORY // 2:
+            self.older = dict(self)
             self.clear()
-            new = list(words)
+        new = words - self.keys()
+        known = new & self.older.keys()
+        self.update((w, self.older[w]) for w in known)
+        new -= known
         plain = [w for w in new if MARK not in w]
         for i in range(0, len(plain), 400):
             some = plain[i:i + 400]
