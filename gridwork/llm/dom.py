@@ -8,7 +8,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A comment, declaration or tag; what the page's end cuts off goes up to there. A quote opens a value only after "=".
+#: Nothing is tried twice, so a page is read in one go however it is broken.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)"
+                  r"((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|(?![\"'])))*+)(>|\Z)", re.S)
 _NAMES = re.compile(r"(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -113,12 +116,11 @@ def read(source: str) -> Page:
     while position < n:
         m = _TAG.search(source, position)
         if not m:
-            cut = source.rfind("<", at)
-            text(cut if cut >= at and re.match(r"</?[a-zA-Z!]", source[cut:]) else n)  # a tag cut off at the end
+            text(n)
             break
         text(m.start())
         position = at = m.end()
-        if not (tag := m[2]):
+        if not (tag := m[2]) or not m[4]:  # no tag, or one cut off at the end
             continue
         tag = tag.lower()
         if m[1]:
@@ -143,8 +145,8 @@ def read(source: str) -> Page:
             leave_head()
         if dropped:  # no block, and nothing that counts for one
             if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}[\s>/]", re.I).search(source, position)
                 if not m[3].endswith("/"):
+                    end = re.compile(rf"</{re.escape(tag)}[\s>/]", re.I).search(source, position)
                     position = at = end.start() if end else n
             elif tag not in VOID and not m[3].endswith("/"):
                 stack.append((tag, stack[-1][1]))
@@ -153,8 +155,8 @@ def read(source: str) -> Page:
                 dropped += tag in DROPPED
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}[\s>/]", re.I).search(source, position)
             if not m[3].endswith("/"):
+                end = re.compile(rf"</{re.escape(tag)}[\s>/]", re.I).search(source, position)
                 position = at = end.start() if end else n
             page.marks[stack[-1][1]] += 1
             text_block += tag not in INLINE and tag not in ("script", "style")

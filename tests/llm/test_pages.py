@@ -1,6 +1,7 @@
 """Operators on pages: main text (1), fixity audit (2), host reputation (4)."""
 
 import html
+import time
 from collections import Counter
 
 import numpy as np
@@ -67,6 +68,22 @@ def test_unclosed_elements_end_with_their_parent(trees):
                                       trees) == html_extract.extract_pages([NEWS], trees)
 
 
+def test_quotes_open_values_only_after_an_equals_sign():
+    assert _texts("<p title=it's>First paragraph.</p><p>Second one isn't lost.</p>") == ["First paragraph.", "Second one isn't lost."]
+    assert _texts('<p data-x=5">Hello</p>') == ["Hello"]
+    assert _texts("<p a = 'x > y' b=\"1 > 0\" c>in</p>") == ["in"]
+    assert _texts("<p>kept</p><a href='never closed>gone</a>") == ["kept"]
+    assert _texts("<p>1 < 2</p>") == ["1 < 2"] and _texts("kept <b") == ["kept "] and _texts("kept <!-- gone") == ["kept "]
+
+
+@pytest.mark.parametrize("page", ["<" + "x" * 1_000_000, "<a " * 333_333, "<a b=\"" * 166_667, "<!x" * 333_333, "<?" * 500_000, "</a " * 250_000,
+                                  "<a b='" * 83_333 + "<a b=\"" * 83_333, "<title/>" * 60_000, "<!--" * 250_000, "<" * 1_000_000, "=\"" * 500_000])
+def test_broken_pages_are_read_once(page):
+    start = time.process_time()
+    dom.read("<p>kept</p>" + page)
+    assert time.process_time() - start < 2
+
+
 def test_head_ends_at_what_cannot_stand_in_it():
     assert _texts("<head><title>T</title><article>Stays.</article>") == ["Stays."]
     assert _texts("<html><head><meta a> <link b><style>p</style><img c>Stays.") == ["Stays."]
