@@ -25,8 +25,9 @@ the texts of one key not all pairs are formed:
 3. the texts of keys that still hold several classes, and all short texts with
    those long enough to be like one, are joined exactly: two
    texts that reach the similarity share one of their rarest shingles (prefix
-   and position filter), so only texts of different classes with a rare shingle
-   in common are aligned, in rounds as in step 2. No partner or candidate is capped.
+   and position filter), and match no more than the counts of their shingles in
+   PARTS parts have in common, so only texts of different classes that pass both
+   are aligned, in rounds as in step 2. No partner or candidate is capped.
 
 Hot groups: equal texts are one row per node before keys are counted; minima
 are partly taken before the shuffle; joins on a hot key are ones that Spark
@@ -248,13 +249,27 @@ def _all_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield rows()
 
 
+#: Parts that a text's shingles are counted in: two texts match no more in a part than either has there.
+PARTS = 128
+
+
+def _part_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How many shingles each text has in each part; repeats of a shingle are in one part."""
+    for pdf in batches:
+        for at in range(0, len(pdf), PIECE):
+            some = pdf.iloc[at:at + PIECE]
+            counts = [np.bincount((shingle_hashes(np.frombuffer(w, np.uint32).astype(np.uint64)) % np.uint64(PARTS)).astype(np.int64),
+                                  minlength=PARTS).astype(np.int32) for w in some["words"]]
+            yield pd.DataFrame({"node": some["doc_id"].to_numpy(), "counts": counts})
+
+
 def _prefix(n: Column, least: Column) -> Column:
     return n - F.ceil(least - 1e-9) + 1
 
 
 def rare_partners(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes(node, class) of different classes that could reach SIMILARITY
-    by prefix and position filter: all that do are among them."""
+    by prefix and position filter and by the counts of their shingles' parts: all that do are among them."""
     rows = stage(_with_words(nodes.select(F.col("node").alias("doc_id")), texts)
                  .mapInPandas(_all_shingles, "node long, n int, shingle long"))
     counts = rows.groupBy("shingle").agg(F.count("*").alias("df"))
@@ -279,10 +294,18 @@ def rare_partners(nodes: DataFrame, texts: DataFrame) -> DataFrame:
            .filter((F.col("class_a") != F.col("class_b")) & fits(F.col("n_a"), F.col("first_a"), F.col("n_b"), F.col("first_b")))
            .filter("texts_a < texts_b or (texts_a = texts_b and class_a < class_b)")
            .select("shingle", "class_a", "n_a", "class_b", "n_b", "first_b"))
-    some = (met.join(side(ranked, "a"), ["shingle", "class_a", "n_a"])
-            .filter(fits(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("first_b"))))
-    return (some.join(side(ranked, "b"), ["shingle", "class_b", "n_b"])
+    met = stage(met)
+    some = stage(met.join(side(ranked, "a"), ["shingle", "class_a", "n_a"])
+                 .filter(fits(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("first_b"))))
+    others = stage(side(ranked, "b").join(met.select("shingle", "class_b", "n_b").distinct(), ["shingle", "class_b", "n_b"], "left_semi"))
+    # a frequent line makes many texts alike in a shingle or two: what they have in common at most is known before they meet
+    counts = stage(_with_words(some.select(F.col("node_a").alias("doc_id")).union(others.select("node_b")), texts)
+                   .mapInPandas(_part_counts, "node long, counts array<int>"))
+    counted = lambda df, s: df.join(counts.select(F.col("node").alias(f"node_{s}"), F.col("counts").alias(f"counts_{s}")), f"node_{s}")
+    common = F.aggregate(F.zip_with("counts_a", "counts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
+    return (counted(some, "a").join(counted(others, "b"), ["shingle", "class_b", "n_b"])
             .filter(fits(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b")))
+            .filter(common >= F.ceil(t / (1 + t) * (F.col("n_a") + F.col("n_b")) - 1e-9))
             .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
 
 

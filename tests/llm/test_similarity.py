@@ -77,6 +77,26 @@ def copies():
     return texts
 
 
+def test_classes_with_a_passage_in_common_meet_only_if_alike(spark):
+    """Many texts of two classes share a passage that is rarer than the rest of them: no pair of them is like one."""
+    rng = np.random.default_rng(3)
+    texts = {}
+    for of in (0, 1000):
+        base = [f"v{x}" for x in rng.integers(0, 10 ** 6, 100)]
+        for i in range(40):
+            texts[of + i] = " ".join([*base[:i], f"own{of + i}", *base[i + 1:]] + "one two three four five six".split() * (i < 15))
+    texts[2000] = texts[7] + " end"
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    stored = stage(rows.withColumn("id", F.col("doc_id")).mapInPandas(
+        order_minhash._sketched, "doc_id long, h1 long, h2 long, n long, keys array<long>, words binary, id long"))
+    nodes = stage(rows.select(F.col("doc_id").alias("node"), (F.floor(F.col("doc_id") / 1000) * 1000).alias("class")))
+    met = {(r["a"], r["b"]) for r in order_minhash.rare_partners(nodes, stored).collect()}
+    words = {d: words_of(t) for d, t in texts.items()}
+    alike = {(a, 2000) for a in range(40) if _matched_share(words[a], words[2000]) >= 0.8}
+    assert (7, 2000) in alike and (7, 2000) in met
+    assert not [p for p in met if p[1] in range(1000, 1040)]
+
+
 def test_indel_distance():
     rng = np.random.default_rng(0)
     for _ in range(150):
