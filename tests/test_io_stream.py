@@ -2,6 +2,7 @@ import json
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from gridwork.sources import io
@@ -115,3 +116,33 @@ def test_tsv_rules_slots(spark):
                                 "doc_id string, table_id string, sentence string, cell_id string, data string")
     once = io.with_context(sent, ctx)
     assert io.with_context(once, ctx).count() == once.count() == 2
+
+
+def test_write_corpus(spark, tmp_path):
+    rows = [("d1", "a.html", "<p>一</p>\n"), ("d1", "b.html", None), ("d2", "a.html", "")]
+    pages = spark.createDataFrame(rows, "doc_id string, page_id string, html string").repartition(3)
+    root = f"file://{tmp_path}/corpus"
+    assert io.write_corpus(pages, root) == 3
+    assert io.write_corpus(pages, root) == 3  # tried again: the same files
+    assert sorted(os.listdir(tmp_path / "corpus" / "d1")) == ["a.html", "b.html"]
+    got = {(r["doc_id"], r["page_id"]): r["html"] for r in io.scan_corpus(spark, root).collect()}
+    assert got == {("d1", "a.html"): "<p>一</p>\n"}  # Spark does not list empty files
+    assert io.write_corpus(pages.limit(0), f"{root}-empty") == 0
+    for bad in ("a/b", None, ".."):
+        with pytest.raises(Exception, match="no file name"):
+            io.write_corpus(pages.withColumn("page_id", F.lit(bad).cast("string")), root)
+
+
+def test_corpus_scan_writes_no_file_by_spark(spark, monkeypatch, tmp_path):
+    """A file for every page through Spark's text writer took more than 29 ms each."""
+    from gridwork.plans import io_queries
+    from gridwork.sources import fixtures
+    html = '<table table-id="{0}-tab1"><tr><td>{0}</td></tr></table>'
+    pages = spark.createDataFrame([("S1", "S1/part0.html", html.format("a")), ("S1", "S1/part1.html", html.format("b")),
+                                   (None, None, None)], "doc_id string, page_id string, html string")
+    monkeypatch.setattr(fixtures, "report_pages", lambda *a: pages)
+    monkeypatch.setattr(io_queries, "scratch", lambda *a: str(tmp_path / "corpus"))
+    got = {(r["doc_id"], r["table_id"], r["text"]) for r in io_queries.corpus_scan(spark, "").collect()}
+    assert got == {("S1", "a-tab1", "a"), ("S1", "b-tab1", "b")}
+    files = sorted(str(p.relative_to(tmp_path / "corpus")) for p in (tmp_path / "corpus").rglob("*") if p.is_file())
+    assert files == ["S1/part0.html", "S1/part1.html", "null/null"]
