@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gridwork import session
 from gridwork.plans import io_queries, oracle_sql, queries, report  # noqa: F401  (io_queries registers its queries)
 from gridwork.plans.oracle_queries import ORACLE
+from gridwork.sources import store
 
 ORDERS = "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string, o_orderdate timestamp"
 LINES = ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
@@ -44,7 +45,7 @@ def stages(spark):
     return {f for f in os.listdir(session.checkpoint_dir(spark)) if f.startswith("stage-")}
 
 
-SLICED = ["best_splits", "sentences_keep_empty", "table_status"]
+SLICED = ["best_splits", "sentences_keep_empty", "table_status", "append_scale"]
 
 
 @pytest.mark.parametrize("name", SLICED)
@@ -56,6 +57,44 @@ def test_slices_of_documents_give_all_rows_and_leave_only_them(spark, tables, mo
     assert rows(got) == by_sql(tables, name, got.columns) and got.count()
 
 
+@pytest.mark.parametrize("name", ["map_distinct_text", "score_distinct_cells", "score_stored_cells"])
+def test_slices_of_texts_ask_once_for_each(spark, tables, monkeypatch, name):
+    monkeypatch.setattr(report, "SLICE_LINES", 80)
+    before = stages(spark)
+    got = queries.REGISTRY[name](spark, tables)
+    if name != "score_stored_cells":
+        assert len(stages(spark) - before) == 1
+    label = ["type", "label"] if "label" in got.columns else ["translated"]
+    texts = {}
+    grid = report.report_grid(spark, tables).filter("text is not null").select("doc_id", "table_id", "r", "c", "text")
+    for r in grid.join(got.select("doc_id", "table_id", "r", "c", *label), ["doc_id", "table_id", "r", "c"]).collect():
+        texts.setdefault(r["text"], set()).add(str([r[x] for x in label]))
+    assert got.count() == grid.count() and texts and all(len(v) == 1 for v in texts.values())
+    if name == "score_stored_cells":  # every text has one stored result
+        folder = max((f for f in os.listdir(session.checkpoint_dir(spark)) if f.startswith("results-")),
+                     key=lambda f: os.path.getmtime(f"{session.checkpoint_dir(spark)}/{f}"))
+        assert spark.read.parquet(f"{session.checkpoint_dir(spark)}/{folder}").count() == len(texts)
+
+
+def test_pages_of_a_slice_make_room_for_the_next(spark, tables, monkeypatch):
+    monkeypatch.setattr(report, "SLICE_LINES", 80)
+    seen, write = [], io_queries.io.write_corpus
+    monkeypatch.setattr(io_queries.io, "write_corpus", lambda pages, root: seen.append((root, write(pages, root))))
+    got = queries.REGISTRY["corpus_scan"](spark, tables)
+    assert rows(got) == by_sql(tables, "corpus_scan", got.columns)
+    assert len(seen) == 2 and sum(n for _, n in seen) == 21  # three files of each of seven customers
+    assert not any(os.path.exists(root) for root, _ in seen)
+
+
+def test_csv_files_of_a_store_are_packed(spark, tmp_path):
+    df = spark.createDataFrame([("d", "a\nb", ""), ("e", None, '"x, ')], "doc_id string, s string, t string")
+    store.write_store(df, str(tmp_path / "s"), fmt="csv")
+    files = [f for f in os.listdir(tmp_path / "s/files") if f.startswith("part-")]
+    assert files and all(f.endswith(".csv.gz") for f in files)
+    assert rows(store.read_store(spark, str(tmp_path / "s"), df.schema, fmt="csv")) == rows(df)
+    assert store.store_errors(spark, str(tmp_path / "s"), df.schema, fmt="csv").count() == 0
+
+
 def test_stages_and_shuffles_go_with_their_slice(spark):
     df = spark.range(1000).select("id", (F.col("id") % 10).alias("k")).union(spark.createDataFrame([(-1, None)], "id long, k long"))
     seen, before = [], stages(spark)
